@@ -1,0 +1,44 @@
+"""Grouped map over sorted groups, without one Arrow batch per group."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+
+def map_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: StructType,
+) -> DataFrame:
+    """``fn`` per group of ``keys``, its rows in ``order``.
+
+    Like ``groupBy(keys).applyInPandas``, but many small groups share an Arrow batch. A group that
+    continues in the next batch is held back until it is complete.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            ids = rows[keys]
+            change = (ids != ids.shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(change)
+            bounds = list(zip(starts[:-1], starts[1:]))
+            if bounds:
+                yield pd.concat([fn(rows.iloc[a:b]) for a, b in bounds], ignore_index=True)
+            held = rows.iloc[starts[-1] :]
+        if held is not None and not held.empty:
+            yield fn(held)
+
+    return (
+        df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    )
