@@ -51,7 +51,8 @@ def to_bool(raw: Column) -> Column:
 
 def fixed_text(value: Column, decimals: int = 2) -> Column:
     """Fixed decimals without grouping, rounding the exact binary value."""
-    return F.format_number(value, "0." + "0" * decimals if decimals else "0")
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", value, F.lit(pattern))
 
 
 def short_hash(text: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorlake import schema
 from sensorlake.functions.times import DAY_US, SECOND_US, from_micros, micros
-from sensorlake.operators.blocks import block_windows, carry_last, with_time_block
+from sensorlake.operators.blocks import BLOCK, block_windows, earlier_blocks, with_time_block
 from sensorlake.operators.cooldown import greedy_accept
 from sensorlake.session import materialise
 
@@ -40,10 +40,14 @@ def breaches(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
 def breach_state(
     readings: DataFrame, thresholds: DataFrame, block_us: int = DAY_US
 ) -> DataFrame:
-    """Adds ``is_breach``, ``active`` and ``onset`` in time order of each channel.
+    """Adds ``is_breach``, ``active``, ``onset`` and ``started`` in time order of each channel.
 
     A breach switches the channel on. A value well inside the bounds, or a missing one, switches
-    it off; a value within the margin keeps the state.
+    it off; a value within the margin keeps the state. ``started`` is the onset time of the episode
+    an active row belongs to.
+
+    Windows see one time block of a channel. A block knows its own switches; from outside it needs
+    only the state and the last onset before it, both of which follow from a per-block summary.
     """
     scored = score_breaches(readings, thresholds)
     value = F.col("value")
@@ -55,38 +59,51 @@ def breach_state(
         .when(inside_hi & inside_lo, 0)
     )
     df = with_time_block(scored.withColumn("_flag", flag), "ts", block_us)
-    df = carry_last(df, KEYS, "ts", {"_flag_in": "_flag"})
     upto, _, base = block_windows(KEYS, "ts")
+    before = base.rowsBetween(Window.unboundedPreceding, -1)
+    known_ts = F.when(F.col("_flag").isNotNull(), F.col("ts"))
+    df = (
+        df.withColumn("_prev", F.last("_flag", True).over(before))
+        .withColumn("_now", F.last("_flag", True).over(upto))
+        .withColumn("_first", F.first("_flag", True).over(upto))
+        .withColumn("_first_ts", F.min(known_ts).over(upto))
+        .withColumn("_switch", F.when((F.col("_flag") == 1) & (F.col("_prev") == 0), F.col("ts")))
+        .withColumn("_switched", F.max("_switch").over(upto))
+    )
+    # A block that opens with a breach starts an episode unless the channel was already on.
+    opens = (F.col("_first") == 1) & (F.coalesce("_flag_in", F.lit(0)) == 0)
+    outside = earlier_blocks(KEYS)
+    carried = (
+        df.groupBy(*KEYS, BLOCK)
+        .agg(
+            F.max_by("_flag", known_ts).alias("_last"),
+            F.min_by("_flag", known_ts).alias("_first"),
+            F.min(known_ts).alias("_first_ts"),
+            F.max("_switch").alias("_switch"),
+        )
+        .withColumn("_flag_in", F.last("_last", True).over(outside))
+        .withColumn("_start", F.coalesce("_switch", F.when(opens, F.col("_first_ts"))))
+        .select(*KEYS, BLOCK, "_flag_in", F.max("_start").over(outside).alias("_start_in"))
+    )
     entering = F.coalesce("_flag_in", F.lit(0))
-    df = df.withColumn("active", F.coalesce(F.last("_flag", True).over(upto), entering))
-    previous = F.coalesce(F.lag("active").over(base), entering)
+    started = F.coalesce("_switched", F.when(opens, F.col("_first_ts")), "_start_in")
     return (
-        df.withColumn("onset", (F.col("active") == 1) & (previous == 0))
+        df.join(carried, [*KEYS, BLOCK], "left")
+        .withColumn("active", F.coalesce("_now", entering))
+        .withColumn("onset", (F.col("active") == 1) & (F.coalesce("_prev", entering) == 0))
+        .withColumn("started", F.when(F.col("active") == 1, started))
         .withColumn("is_breach", F.col("direction").isNotNull())
-        .drop("_flag", "_flag_in", "lo", "hi", "margin", "lo_reason", "hi_reason")
-    )
-
-
-def with_episode(state: DataFrame) -> DataFrame:
-    """Adds ``started``, the onset time of the episode an active row belongs to.
-
-    ``state`` is the output of :func:`breach_state`, still carrying its time block.
-    """
-    df = state.withColumn("_start", F.when(F.col("onset"), F.col("ts")))
-    df = carry_last(df, KEYS, "ts", {"_start_in": "_start"})
-    upto, _, _ = block_windows(KEYS, "ts")
-    started = F.coalesce(F.last("_start", True).over(upto), F.col("_start_in"))
-    return (
-        df.withColumn("started", started)
-        .filter(F.col("active") == 1)
-        .drop("_start", "_start_in")
+        .select(
+            *readings.columns, "direction", "severity", "reason", "is_breach", "active", "onset",
+            "started",
+        )
     )
 
 
 def episodes(state: DataFrame) -> DataFrame:
     """One row per breach episode: begin, end, length, readings, greatest severity."""
     return (
-        with_episode(state)
+        state.filter("active = 1")
         .groupBy(*KEYS, "started")
         .agg(
             F.max("ts").alias("ended"),
@@ -107,12 +124,12 @@ def notifications(
     An onset is sent unless the channel's last sent onset is under ``cooldown_s`` old. A channel
     still in breach is sent again once more than ``reminder_s`` passed since its last notice.
     """
-    rows = with_episode(state).select(
+    rows = state.filter("onset OR (active = 1 AND is_breach)").select(
         "ts", *KEYS, "value", "severity", "direction", "reason", "onset", "is_breach", "started",
         micros("ts").alias("at_us"),
     )
     # Used three times below, and far smaller than the readings.
-    rows = materialise(rows.filter("onset OR is_breach"))
+    rows = materialise(rows)
     content = ["ts", *KEYS, "value", "severity", "direction", "reason"]
     onsets = greedy_accept(
         rows.filter("onset").select(*content, "at_us"), KEYS, "at_us", cooldown_s * SECOND_US

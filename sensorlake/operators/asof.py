@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sensorlake.functions.times import DAY_US, block_of, micros
-from sensorlake.operators.blocks import BLOCK, block_windows, carry_first, carry_last
+from sensorlake.operators.blocks import BLOCK, block_windows, carry
 
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], ts: str, width_us: int):
@@ -38,13 +38,17 @@ def match_times(
     """
     keys = keys or []
     merged = _merged(left, right, keys, ts, width_us)
-    merged = carry_last(merged, keys, "_order", {"_before_in": "_seen"})
+    both = direction != "backward"
+    merged = carry(
+        merged, keys, "_order",
+        last={"_before_in": "_seen"},
+        first={"_after_in": "_seen"} if both else None,
+    )
     upto, onward, _ = block_windows(keys, "_order")
     before = F.coalesce(F.last("_seen", True).over(upto), F.col("_before_in"))
-    if direction == "backward":
+    if not both:
         matched = merged.withColumn("match_us", before)
     else:
-        merged = carry_first(merged, keys, "_order", {"_after_in": "_seen"})
         after = F.coalesce(F.first("_seen", True).over(onward), F.col("_after_in"))
         near = merged.withColumn("_b", before).withColumn("_a", after)
         back, ahead = F.col("_at") - F.col("_b"), F.col("_a") - F.col("_at")

@@ -7,7 +7,7 @@ windows run over ``(channel, block)``:
 * fixed row frames get the few neighbouring rows they need copied into the block
   (:func:`rows_frame`), with blocks of equally many rows;
 * unbounded frames take what they need from outside the block as one carried value per block
-  (:func:`carry_last`, :func:`carry_first`), found from a per-block aggregate. That aggregate has
+  (:func:`carry`), found from a per-block aggregate. That aggregate has
   one row per block, so the window over it is small however many rows the channel has.
 
 Both are exact.
@@ -82,34 +82,46 @@ def rows_frame(
     return spread.filter(F.col("_home") == F.col(BLOCK)).drop("_home", BLOCK)
 
 
-def _carry(df, keys, order, columns, forward: bool) -> DataFrame:
-    pick = F.max_by if forward else F.min_by
+def earlier_blocks(keys: list[str]):
+    """Window over a per-block summary: all blocks before the row's."""
+    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def later_blocks(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+
+
+def carry(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    last: dict[str, str] | None = None,
+    first: dict[str, str] | None = None,
+) -> DataFrame:
+    """Adds values from outside the block, each as ``{name: column}``.
+
+    ``last`` takes the column's last non-null value in any earlier block of the key, ``first`` its
+    first non-null value in any later block.
+    """
+    last, first = last or {}, first or {}
+
+    def known(column):
+        return F.when(F.col(column).isNotNull(), F.col(order))
+
     summary = df.groupBy(*keys, BLOCK).agg(
-        *[
-            pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-            for c in columns.values()
-        ]
+        *[F.max_by(c, known(c)).alias(name) for name, c in last.items()],
+        *[F.min_by(c, known(c)).alias(name) for name, c in first.items()],
     )
-    sequence = Window.partitionBy(*keys).orderBy(F.col(BLOCK) if forward else F.col(BLOCK).desc())
-    outside = sequence.rowsBetween(Window.unboundedPreceding, -1)
+    before, after = earlier_blocks(keys), later_blocks(keys)
     carried = summary.select(
         *keys,
         BLOCK,
-        *[F.last(c, ignorenulls=True).over(outside).alias(name) for name, c in columns.items()],
+        *[F.last(name, True).over(before).alias(name) for name in last],
+        *[F.first(name, True).over(after).alias(name) for name in first],
     )
     return df.join(carried, [*keys, BLOCK], "left")
 
 
-def carry_last(df: DataFrame, keys: list[str], order: str, columns: dict[str, str]) -> DataFrame:
-    """Adds, per ``{name: column}``, the last non-null value in any earlier block of the key."""
-    return _carry(df, keys, order, columns, True)
-
-
-def carry_first(df: DataFrame, keys: list[str], order: str, columns: dict[str, str]) -> DataFrame:
-    """Adds, per ``{name: column}``, the first non-null value in any later block of the key."""
-    return _carry(df, keys, order, columns, False)
-
-
 def block_windows(keys: list[str], order: str):
     """Windows of a block up to the row, and from the row on."""
     base = Window.partitionBy(*keys, BLOCK).orderBy(order)
@@ -134,7 +146,7 @@ def with_previous(
     blocked = with_time_block(df, ts, width_us).withColumn(
         "_row", F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     )
-    carried = carry_last(blocked, keys, ts, {"_row_in": "_row"})
+    carried = carry(blocked, keys, ts, last={"_row_in": "_row"})
     _, _, base = block_windows(keys, ts)
     previous = F.coalesce(F.lag("_row").over(base), F.col("_row_in"))
     out = carried.withColumn("_prev", previous)

@@ -9,8 +9,7 @@ from sensorlake.operators.blocks import (
     BLOCK,
     BLOCK_ROWS,
     block_windows,
-    carry_first,
-    carry_last,
+    carry,
     rows_frame,
     with_position,
 )
@@ -125,8 +124,7 @@ def _neighbours(frame, keys, value, pos, block_rows):
     df = frame.withColumn("_known", known).withColumn(
         BLOCK, F.floor(F.col(pos) / block_rows).cast("bigint")
     )
-    df = carry_last(df, keys, pos, {"_before": "_known"})
-    df = carry_first(df, keys, pos, {"_after": "_known"})
+    df = carry(df, keys, pos, last={"_before": "_known"}, first={"_after": "_known"})
     upto, onward, _ = block_windows(keys, pos)
     return (
         df.withColumn("_v0", F.coalesce(F.last("_known", True).over(upto), F.col("_before")))

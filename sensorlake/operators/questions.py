@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -108,14 +107,41 @@ def question_windows(questions: DataFrame, frame: DataFrame) -> DataFrame:
     ).drop("scope")
 
 
-def partial_ratio(a: str, b: str) -> int:
-    """0..100: best similarity of the shorter text with an equally long piece of the longer."""
+def _lcs(masks: dict[str, int], length: int, text: str) -> int:
+    """Longest common subsequence of a text with the one the character masks stand for."""
+    full = (1 << length) - 1
+    v = full
+    for ch in text:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return length - v.bit_count()
+
+
+def _can_reach(short: str, long: str, ratio: float) -> bool:
+    """False only if no piece of ``long`` can be as similar as ``ratio``.
+
+    Every full piece lies in a chunk a quarter longer than it, whose common subsequence with
+    ``short`` bounds the matching characters. Pieces cut off at the end are shorter, so they need
+    fewer; they all lie in the last ``len(short)`` characters.
+    """
+    n = len(short)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    stride = max(1, n // 4)
+    chunks = range(0, max(len(long) - n, 0) + 1, stride)
+    if any(_lcs(masks, n, long[at : at + n + stride]) >= ratio * n for at in chunks):
+        return True
+    return _lcs(masks, n, long[-n:]) >= ratio / (2 - ratio) * n
+
+
+def partial_ratio(a: str, b: str, at_least: int = 0) -> int:
+    """0..100: best similarity of the shorter text with an equally long piece of the longer.
+
+    Scores below ``at_least`` may come out as 0.
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
-        return 0
-    # Characters that occur in both texts bound the score, cheaply.
-    common = sum((Counter(short) & Counter(long)).values())
-    if 200 * common < (CACHE_THRESHOLD - 1) * (len(short) + common):
+    if not short or not _can_reach(short, long, (at_least - 0.5) / 100):
         return 0
     matcher = SequenceMatcher(None, short, long, autojunk=False)
     best = 0.0
@@ -173,7 +199,7 @@ def cache_hits(
 
     @F.pandas_udf("int")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)])
+        return pd.Series([partial_ratio(x, y, threshold) for x, y in zip(a, b)])
 
     fuzzy = (
         probes.join(own.unionByName(earlier), "cell")

@@ -16,6 +16,7 @@ from sensorlake.plans.base import (
     neighbours_sql,
     query,
     readings,
+    rounded,
 )
 
 
@@ -27,7 +28,7 @@ from sensorlake.plans.base import (
 )
 def _(spark, d):
     return clean.flatlines(frame(spark, d)).select(
-        "ts", *KEYS, "roll_n", F.round("roll_var", 3).alias("roll_var"), "is_flat"
+        "ts", *KEYS, "roll_n", rounded("roll_var", 3).alias("roll_var"), "is_flat"
     )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorlake import schema
+from sensorlake.functions.text import fixed_text
 from sensorlake.functions.times import MINUTE_US
 from sensorlake.operators import evaluate, forecast
 from sensorlake.operators.series import KEYS
-from sensorlake.plans.base import CLEAN, clean_frame, query, readings
+from sensorlake.plans.base import CLEAN, clean_frame, query, readings, rounded
 from sensorlake.session import materialise
 
 MEMBERS = 5
@@ -198,7 +199,7 @@ def _(spark, d):
     FROM r JOIN ends USING (node, metric) GROUP BY ALL""",
 )
 def _(spark, d):
-    rows = evaluation(spark, d).withColumn("residual", F.round("residual", 6))
+    rows = evaluation(spark, d).withColumn("residual", rounded("residual"))
     return evaluate.residual_histogram(rows)
 
 
@@ -218,13 +219,13 @@ TOLERANCE_US = 10 * MINUTE_US
       ON target_ts >= f.ts),
     ahead AS (SELECT target_ts, f.ts AS a FROM targets ASOF LEFT JOIN frame_times f
       ON target_ts <= f.ts),
-    near AS (
+    near_ts AS (
       SELECT target_ts, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a
         WHEN epoch_us(a) - epoch_us(target_ts) <= epoch_us(target_ts) - epoch_us(b) THEN a
         ELSE b END AS gt_ts FROM back JOIN ahead USING (target_ts)),
     filled AS (
       SELECT l.*, CASE WHEN abs(epoch_us(n.gt_ts) - epoch_us(l.target_ts)) <= {TOLERANCE_US}
-        THEN n.gt_ts END AS gt_ts FROM log l JOIN near n USING (target_ts)),
+        THEN n.gt_ts END AS gt_ts FROM log l JOIN near_ts n USING (target_ts)),
     valued AS (
       SELECT f.*, r.value AS gt FROM filled f LEFT JOIN readings r
         ON r.ts = f.gt_ts AND r.node = f.node AND r.metric = f.metric)
@@ -303,15 +304,15 @@ def _(spark, d):
         F.col("ts").alias("issue_ts"),
         (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("target_ts"),
         *KEYS,
-        F.round("value", 6).alias("current"),
-        F.round("pred", 6).alias("predicted"),
+        rounded("value").alias("current"),
+        rounded("pred").alias("predicted"),
     )
     payloads = forecast.module_payloads(
         rows.withColumn("delta", F.col("predicted") - F.col("current"))
     )
     texts = F.transform(
         F.map_entries("predicted"),
-        lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], "0.00")),
+        lambda e: F.concat(e["key"], F.lit("="), fixed_text(e["value"])),
     )
     return payloads.select(
         "node", "issue_ts", "target_ts",

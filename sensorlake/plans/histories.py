@@ -18,6 +18,7 @@ from sensorlake.plans.base import (
     neighbours_sql,
     query,
     readings,
+    rounded,
     scored_sql,
 )
 from sensorlake.session import materialise
@@ -148,7 +149,7 @@ FIXED = "printf('%.2f', round(value, 6))"
 
 def tidy_frame(spark, d):
     # Six decimals on both sides, so that the two-decimal text cannot hang on the last bit.
-    return clean_frame(spark, d).withColumn("value", F.round("value", 6))
+    return clean_frame(spark, d).withColumn("value", rounded("value"))
 
 
 @query(
@@ -171,7 +172,8 @@ def _(spark, d):
     FROM pairs GROUP BY ts""",
 )
 def _(spark, d):
-    return series.history_json(frame(spark, d), schema.DAY_ROWS)
+    rows = frame(spark, d).withColumn("value", rounded("value"))
+    return series.history_json(rows, schema.DAY_ROWS)
 
 
 SMOOTHED = f"""{READINGS}, smoothed AS (
@@ -382,7 +384,7 @@ def cells_sql(nx: int, ny: int) -> str:
 )
 def _(spark, d):
     grid = spatial.heat_grid(series.latest(readings(spark, d)), GRID_POSITIONS)
-    return grid.withColumn("z", F.round("z", 4))
+    return grid.withColumn("z", rounded("z", 4))
 
 
 @query(
@@ -401,4 +403,4 @@ def _(spark, d):
     frames = series.filled_day_frames(series.day_frames(readings(spark, d)))
     known = frames.select("day", "ts", *KEYS, F.col("filled").alias("value"))
     grid = spatial.frame_grid(known, GRID_POSITIONS, ["day", "ts", "metric"], 9, 8)
-    return grid.drop("x", "y").withColumn("z", F.round("z", 4))
+    return grid.drop("x", "y").withColumn("z", rounded("z", 4))

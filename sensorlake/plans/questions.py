@@ -139,9 +139,23 @@ def _(spark, d):
     return series.usage_rollup(log)
 
 
+def question_log(spark, d):
+    """Questions with ask times; some are asked again, word for word or changed a little."""
+    first = worded(spark, d).withColumn("asked_s", F.col("conv_id") * 240 + F.col("turn") * 40)
+    again = first.filter("conv_id % 3 = 0").select(
+        "conv_id", (F.col("turn") + 100).alias("turn"),
+        F.regexp_replace("text", "[aeiou]r", "x").alias("text"),
+        (F.col("asked_s") + 60).alias("asked_s"),
+    )
+    copies = first.filter("conv_id % 5 = 0").select(
+        "conv_id", (F.col("turn") + 200).alias("turn"),
+        F.concat(F.lit(" "), F.upper("text")).alias("text"),
+        (F.col("asked_s") + 170).alias("asked_s"),
+    )
+    return first.unionByName(again).unionByName(copies)
+
+
 @query("c09_repeated_questions")
 def _(spark, d):
-    asked_at = worded(spark, d).withColumn(
-        "asked_s", F.col("conv_id") * 120 + F.col("turn") * 30
-    )
-    return questions.cache_hits(asked_at, ["conv_id", "turn"])
+    hits = questions.cache_hits(question_log(spark, d), ["conv_id", "turn"])
+    return hits.select("conv_id", "turn", "asked_s", "score", F.sha2("matched", 256).alias("matched"))

@@ -115,6 +115,7 @@ def rewrite(log: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
     staged = work_dir(spark)
     log.write.mode("overwrite").parquet(staged)
     writer = spark.read.parquet(staged).write.mode("overwrite").format(fmt)
-    writer.option("header", True).save(path)
-    reader = spark.read.format(fmt).option("header", True)
+    options = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    writer.options(**options).save(path)
+    reader = spark.read.format(fmt).options(**options)
     return reader.schema(log.schema).load(path)
