@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorlake.functions.times import DAY_US, block_of, micros
+from sensorlake.functions.times import HOUR_US, block_of, micros
 from sensorlake.operators.blocks import BLOCK, block_windows, carry
 
 
@@ -28,7 +28,7 @@ def match_times(
     ts: str = "ts",
     direction: str = "backward",
     tolerance_us: int | None = None,
-    width_us: int = DAY_US,
+    width_us: int = HOUR_US,
 ) -> DataFrame:
     """Maps every distinct ``(keys, ts)`` of ``left`` to a time of ``right``.
 

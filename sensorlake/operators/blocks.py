@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sensorlake.functions.times import DAY_US, block_of, micros
+from sensorlake.functions.times import DAY_US, HOUR_US, block_of, micros
 
 BLOCK = "_block"
 BLOCK_ROWS = 50_000
@@ -29,14 +29,19 @@ def with_time_block(df: DataFrame, ts: str = "ts", width_us: int = DAY_US) -> Da
     return df.withColumn(BLOCK, block_of(micros(ts), width_us))
 
 
+def _width(keys: list[str]) -> int:
+    """A day of one channel, or an hour of the whole fleet."""
+    return DAY_US if keys else HOUR_US
+
+
 def with_position(
-    df: DataFrame, keys: list[str], ts: str = "ts", pos: str = "pos", width_us: int = DAY_US
+    df: DataFrame, keys: list[str], ts: str = "ts", pos: str = "pos", width_us: int | None = None
 ) -> DataFrame:
     """0-based position in ``ts`` order within ``keys``; ``(keys, ts)`` must be unique.
 
     Row numbers inside a time block plus the row count of all earlier blocks.
     """
-    blocked = with_time_block(df, ts, width_us)
+    blocked = with_time_block(df, ts, width_us or _width(keys))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*keys, BLOCK)
@@ -137,13 +142,13 @@ def with_previous(
     keys: list[str],
     columns: dict[str, str],
     ts: str = "ts",
-    width_us: int = DAY_US,
+    width_us: int | None = None,
 ) -> DataFrame:
     """Adds, per ``{name: column}``, that column's value in the preceding row of the key.
 
     Exact for null values too: the preceding row is carried as a struct.
     """
-    blocked = with_time_block(df, ts, width_us).withColumn(
+    blocked = with_time_block(df, ts, width_us or _width(keys)).withColumn(
         "_row", F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     )
     carried = carry(blocked, keys, ts, last={"_row_in": "_row"})

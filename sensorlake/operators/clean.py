@@ -14,6 +14,7 @@ from sensorlake.operators.blocks import (
     with_position,
 )
 from sensorlake.schema import CHANNELS, MIN_ROWS
+from sensorlake.session import materialise
 
 KEYS = ["node", "metric"]
 
@@ -187,10 +188,14 @@ def fill_forward_backward(
 
 
 def flagged(frame: DataFrame, **options) -> DataFrame:
-    """Flat and spike flags with the surviving value, before gaps are filled."""
+    """Flat and spike flags with the surviving value, before gaps are filled.
+
+    The flat-stretch result is written once: the spread over all history and everything after it
+    read it, and recomputing it would shuffle the frame each time.
+    """
     zscore = options.pop("zscore", 3.0)
-    flat = flatlines(frame, **options).withColumn(
-        "kept", F.when(~F.col("is_flat"), F.col("value"))
+    flat = materialise(
+        flatlines(frame, **options).withColumn("kept", F.when(~F.col("is_flat"), F.col("value")))
     )
     return outliers(flat, zscore, "kept").withColumn(
         "kept", F.when(~F.col("is_outlier"), F.col("kept"))

@@ -36,32 +36,36 @@ def greedy_accept(
     """
     block_us = block_us or 24 * gap_us
     side = "right" if strict else "left"
+    unset = np.iinfo("int64").min
     events = events.withColumn(BLOCK, block_of(F.col(at), block_us))
     key_fields = [events.schema[k] for k in keys]
 
     def first_passing(times, last):
         return int(np.searchsorted(times, last + gap_us, side=side))
 
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf[at].to_numpy(dtype="int64"))
-        following = np.searchsorted(times, times + gap_us, side=side)
-        leave = times.copy()
-        for i in range(len(times) - 1, -1, -1):
-            if following[i] < len(times):
-                leave[i] = leave[following[i]]
-        # Only events up to one gap after the block's beginning (or the start value, if that is
-        # later), and the event after those, can be let in first.
-        opening = int(pdf[BLOCK].iloc[0]) * block_us
-        if start:
-            opening = max(opening, int(pdf["_start"].iloc[0]))
-        entries = min(first_passing(times, opening) + 1, len(times))
-        first, leave = times[:entries], leave[:entries]
-        keep = np.append(leave[1:] != leave[:-1], True)
-        head = pdf[[*keys, BLOCK]].iloc[:1].reset_index(drop=True)
-        head["upto"] = [first[keep].tolist()]
-        head["leave"] = [leave[keep].tolist()]
-        head["start"] = [int(pdf["_start"].iloc[0])] if start else [0]
-        return head
+    def steps(rows: pd.DataFrame, bounds) -> pd.DataFrame:
+        at_all, block_all = rows[at].to_numpy(dtype="int64"), rows[BLOCK].to_numpy()
+        start_all = rows["_start"].to_numpy() if start else np.zeros(len(rows), dtype="int64")
+        upto, leave_to = [], []
+        for a, b in bounds:
+            times = np.unique(at_all[a:b])
+            following = np.searchsorted(times, times + gap_us, side=side)
+            leave = times.copy()
+            for i in range(len(times) - 1, -1, -1):
+                if following[i] < len(times):
+                    leave[i] = leave[following[i]]
+            # Only events up to one gap after the block's beginning (or the start value, if that
+            # is later), and the event after those, can be let in first.
+            opening = max(int(block_all[a]) * block_us, int(start_all[a]))
+            entries = min(first_passing(times, opening) + 1, len(times))
+            times, leave = times[:entries], leave[:entries]
+            keep = np.append(leave[1:] != leave[:-1], True)
+            upto.append(times[keep].tolist())
+            leave_to.append(leave[keep].tolist())
+        heads = [a for a, _ in bounds]
+        out = rows[[*keys, BLOCK]].iloc[heads].reset_index(drop=True)
+        out["upto"], out["leave"], out["start"] = upto, leave_to, start_all[heads]
+        return out
 
     block_field = StructField(BLOCK, LongType())
     long_list = ArrayType(LongType())
@@ -77,15 +81,17 @@ def greedy_accept(
     needed = [*keys, BLOCK, at] + ([F.col(start).alias("_start")] if start else [])
     per_block = map_groups(events.select(*needed), [*keys, BLOCK], at, steps, steps_schema)
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        last = int(pdf["start"].iloc[0]) if start else None
-        enter = []
-        for upto, leave in zip(pdf["upto"], pdf["leave"]):
-            enter.append(last)
-            step = 0 if last is None else first_passing(upto, last)
-            if step < len(upto):
-                last = int(leave[step])
-        out = pdf[[*keys, BLOCK]].copy()
+    def compose(rows: pd.DataFrame, bounds) -> pd.DataFrame:
+        upto_all, leave_all, enter = rows["upto"], rows["leave"], []
+        for a, b in bounds:
+            last = int(rows["start"].iloc[a]) if start else None
+            for i in range(a, b):
+                enter.append(last)
+                upto, leave = upto_all.iloc[i], leave_all.iloc[i]
+                step = 0 if last is None else first_passing(upto, last)
+                if step < len(upto):
+                    last = int(leave[step])
+        out = rows[[*keys, BLOCK]].copy()
         out["_enter"] = pd.array(enter, dtype="Int64")
         return out
 
@@ -94,22 +100,25 @@ def greedy_accept(
         StructType([*key_fields, block_field, StructField("_enter", LongType())]),
     )
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = pdf[at].to_numpy(dtype="int64")
-        accepted = np.zeros(len(times), dtype=bool)
-        enter = pdf["_enter"].iloc[0]
-        enter = None if pd.isna(enter) else int(enter)
-        i = 0 if enter is None else first_passing(times, enter)
-        while i < len(times):
-            accepted[i] = True
-            i = first_passing(times, times[i])
-        passed = pd.Series(pd.array(np.where(accepted, times, 0), dtype="Int64"))
-        last = passed.mask(~accepted).ffill()
-        prev = last.shift(1)
-        if enter is not None:
-            last, prev = last.fillna(enter), prev.fillna(enter)
-        out = pdf.drop(columns=["_enter", BLOCK]).reset_index(drop=True)
-        out["accepted"], out["prev_us"], out["last_us"] = accepted, prev, last
+    def decide(rows: pd.DataFrame, bounds) -> pd.DataFrame:
+        times = rows[at].to_numpy(dtype="int64")
+        enter_all = rows["_enter"].astype("Int64").to_numpy(dtype="int64", na_value=unset)
+        accepted = np.zeros(len(rows), dtype=bool)
+        last, prev = np.empty(len(rows), dtype="int64"), np.empty(len(rows), dtype="int64")
+        for a, b in bounds:
+            own, enter = times[a:b], enter_all[a]
+            i = 0 if enter == unset else first_passing(own, enter)
+            while i < b - a:
+                accepted[a + i] = True
+                i = first_passing(own, own[i])
+            # Accepted times only grow, so the last one so far is a running maximum.
+            last[a:b] = np.maximum(np.maximum.accumulate(np.where(accepted[a:b], own, unset)), enter)
+            prev[a], prev[a + 1 : b] = enter, last[a : b - 1]
+        out = rows.drop(columns=["_enter", BLOCK]).reset_index(drop=True)
+        out["accepted"] = accepted
+        for name, marks in (("prev_us", prev), ("last_us", last)):
+            out[name] = pd.array(marks, dtype="Int64")
+            out.loc[marks == unset, name] = pd.NA
         return out
 
     joined = events.join(entries, [*keys, BLOCK])

@@ -27,12 +27,17 @@ def reconcile(log: DataFrame, readings: DataFrame, tolerance: int) -> DataFrame:
         targets, readings.select("ts"), direction="nearest", tolerance_us=tolerance
     ).select(from_micros("at_us").alias("target_ts"), from_micros("match_us").alias("gt_ts"))
     truth = readings.select(
-        F.col("ts").alias("gt_ts"), *KEYS, F.col("value").alias("gt")
+        F.col("ts").alias("_at"), *KEYS, F.col("value").alias("gt")
     ).filter(F.col("gt").isNotNull())
+    # Targets without a frame time join on their own time, so that they do not all meet in the
+    # partition of the null key; whatever they hit is blanked.
     filled = (
         log.join(near, "target_ts", "left")
-        .join(truth, ["gt_ts", *KEYS], "left")
-        .withColumn("gt", F.when(F.col("pred").isNotNull(), F.col("gt")))
+        .withColumn("_at", F.coalesce("gt_ts", "target_ts"))
+        .join(truth, ["_at", *KEYS], "left")
+        .withColumn(
+            "gt", F.when(F.col("pred").isNotNull() & F.col("gt_ts").isNotNull(), F.col("gt"))
+        )
         .withColumn("residual", F.col("gt") - F.col("pred"))
         .withColumn("abs_error", F.abs("residual"))
         .withColumn("matched", F.col("residual").isNotNull())

@@ -14,30 +14,38 @@ def map_groups(
     df: DataFrame,
     keys: list[str],
     order: str,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    fn: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame],
     schema: StructType,
 ) -> DataFrame:
-    """``fn`` per group of ``keys``, its rows in ``order``.
+    """``fn(rows, bounds)`` over complete groups of ``keys``, each sorted by ``order``.
 
-    Like ``groupBy(keys).applyInPandas``, but many small groups share an Arrow batch. A group that
-    continues in the next batch is held back until it is complete.
+    Like ``groupBy(keys).applyInPandas``, but many small groups share one call: ``bounds`` are the
+    row ranges of the groups. A group that continues in the next batch is held back until it is
+    complete, so a task holds one batch and one group.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if rows.empty:
+            if batch.empty:
                 continue
+            if held and (batch[keys].iloc[0] == held[-1][keys].iloc[-1]).all() and (
+                batch[keys].iloc[-1] == batch[keys].iloc[0]
+            ).all():
+                # All of it continues the held group.
+                held.append(batch)
+                continue
+            rows = pd.concat([*held, batch], ignore_index=True) if held else batch
             ids = rows[keys]
-            change = (ids != ids.shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(change)
-            bounds = list(zip(starts[:-1], starts[1:]))
-            if bounds:
-                yield pd.concat([fn(rows.iloc[a:b]) for a, b in bounds], ignore_index=True)
-            held = rows.iloc[starts[-1] :]
-        if held is not None and not held.empty:
-            yield fn(held)
+            starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy()).tolist()
+            if len(starts) > 1:
+                last = starts[-1]
+                yield fn(rows.iloc[:last], list(zip(starts[:-1], starts[1:])))
+                rows = rows.iloc[last:].reset_index(drop=True)
+            held = [rows]
+        if held:
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            yield fn(rows, [(0, len(rows))])
 
     return (
         df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

@@ -199,8 +199,7 @@ SCORES = f"""{CLEAN}, spread AS (
         ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS window_err FROM errors) WHERE pos >= 19),
     scores AS (SELECT ts, avg(window_err) AS score FROM windowed GROUP BY ts),
     judged AS (
-      SELECT *, score > 2 * (SELECT quantile_cont(score, 0.5) FROM scores) AS is_anomaly
-      FROM scores)"""
+      SELECT *, score > 1.1 AS is_anomaly FROM scores)"""
 
 
 def windowed_errors(spark, d):
@@ -228,7 +227,7 @@ def _(spark, d):
     SELECT at_us AS ts_us, round(score, 6) AS score FROM passed WHERE accepted""",
 )
 def _(spark, d):
-    found = anomaly.score(windowed_errors(spark, d)).filter("is_anomaly")
+    found = anomaly.score(windowed_errors(spark, d), threshold=1.1).filter("is_anomaly")
     return alerts.cooldown(found.select("ts", "score"), [], schema.ANOMALY_COOLDOWN_S)
 
 
