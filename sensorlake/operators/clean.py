@@ -23,12 +23,11 @@ class DataQualityError(RuntimeError):
     """The input has too few rows, or no channel with a usable value."""
 
 
-def to_grid(readings: DataFrame, width: str = "1 hour", decimals: int | None = None) -> DataFrame:
+def to_grid(readings: DataFrame, width: str = "1 hour") -> DataFrame:
     """Mean per time step, node and metric. Empty steps have no row."""
-    mean = F.avg("value")
-    if decimals is not None:
-        mean = F.round(mean, decimals)
-    return readings.groupBy(floor_to("ts", width).alias("ts"), *KEYS).agg(mean.alias("value"))
+    return readings.groupBy(floor_to("ts", width).alias("ts"), *KEYS).agg(
+        F.avg("value").alias("value")
+    )
 
 
 def latest_per_timestamp(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

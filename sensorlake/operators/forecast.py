@@ -176,6 +176,21 @@ def naive(frame: DataFrame, lag: int = 1, block_rows: int = BLOCK_ROWS) -> DataF
     ).filter(F.col("pred").isNotNull())
 
 
+def persistence_members(frame: DataFrame, members: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """An ensemble without a model: member ``k`` predicts the value ``k`` rows earlier."""
+
+    def lagged(k):
+        return lambda w: F.lag("value", k).over(w)
+
+    names = {f"{k}": lagged(k) for k in range(1, members + 1)}
+    wide = rows_frame(frame, KEYS, names, before=members, after=0, block_rows=block_rows)
+    return (
+        wide.unpivot(["ts", *KEYS], list(names), "member", "pred")
+        .withColumn("member", F.col("member").cast("int"))
+        .filter(F.col("pred").isNotNull())
+    )
+
+
 def bagged_fit(windows: DataFrame, members: int = 5, lags: int = LAGS) -> DataFrame:
     """One model per ensemble member on a bootstrap whose weights come from a row hash.
 

@@ -201,9 +201,13 @@ def cache_hits(
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([partial_ratio(x, y, threshold) for x, y in zip(a, b)])
 
+    # Scoring is the costly part. Spreading the pairs evenly keeps a busy cell off one task, and the
+    # fixed number keeps small but slow partitions from being merged.
+    tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fuzzy = (
         probes.join(own.unionByName(earlier), "cell")
         .filter(in_time & (F.col("other") != F.col("q")))
+        .repartition(tasks)
         .withColumn("score", score("q", "other"))
         .filter(F.col("score") >= threshold)
         .groupBy(*ids, "asked_s")

@@ -15,8 +15,6 @@ from sensorlake.session import materialise
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-GRID_DECIMALS = 6
-
 
 def rounded(column, decimals: int = 6):
     """Rounding for comparison. Means and midpoints of short decimals often end in an exact half,
@@ -116,8 +114,13 @@ def readings(spark: SparkSession, sf_dir: str, keep: list[str] = []) -> DataFram
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense frame of hourly means, uncleaned; written once, as cleaning reads it often."""
-    return materialise(densify(to_grid(readings(spark, sf_dir), "1 hour", GRID_DECIMALS)))
+    """The dense frame of hourly means, uncleaned.
+
+    The means are written once: the frame numbers its rows and is read in several branches, and
+    none of those should scan the events again.
+    """
+    means = to_grid(readings(spark, sf_dir), "1 hour").withColumn("value", rounded("value"))
+    return densify(materialise(means))
 
 
 def clean_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +138,7 @@ METRICS = f"metrics AS ({schema.METRICS_SQL})"
 THRESHOLDS = f"thresholds AS ({schema.THRESHOLDS_SQL})"
 
 GRID = f"""{READINGS}, grid AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, node, metric, round(avg(value), {GRID_DECIMALS}::INT) AS value
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, node, metric, round(avg(value), 6) AS value
   FROM readings GROUP BY 1, 2, 3)"""
 
 FRAME = f"""{GRID}, {NODES}, {METRICS}, times AS (

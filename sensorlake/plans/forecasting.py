@@ -100,20 +100,9 @@ evaluation AS (
   FROM cleaned c JOIN ensemble e USING (ts, node, metric))"""
 
 
-def members(rows):
-    parts = [
-        forecast.naive(rows, k).select("ts", *KEYS, "pred", F.lit(k).alias("member"))
-        for k in range(1, MEMBERS + 1)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def evaluation(spark, d):
     rows = settled(spark, d)
-    both = materialise(forecast.ensemble(members(rows)))
+    both = materialise(forecast.ensemble(forecast.persistence_members(rows, MEMBERS)))
     mean = both.select("ts", *KEYS, F.col("mean").alias("value"))
     std = both.select("ts", *KEYS, F.col("std").alias("value"))
     return evaluate.align(rows, mean, std)
@@ -126,7 +115,9 @@ def evaluation(spark, d):
     FROM ensemble""",
 )
 def _(spark, d):
-    return forecast.ensemble(members(settled(spark, d)))
+    return forecast.ensemble(
+        forecast.persistence_members(settled(spark, d), MEMBERS)
+    )
 
 
 @query(
