@@ -188,7 +188,7 @@ def notification_batches(
         notices.filter(F.col("kind") != "suppressed").withColumn("_all", F.lit(1))
     )
     opened = greedy_accept(
-        sent, ["_all"], "at_us", window_s * SECOND_US, strict=True, block_us=DAY_US
+        sent, ["_all"], "at_us", window_s * SECOND_US, strict=True
     ).withColumn("batch_start", from_micros("last_us"))
     rows = opened.drop("accepted", "prev_us", "last_us", "_all", "at_us")
     return most_severe(rows, ["batch_start", "kind", *KEYS])

@@ -146,13 +146,22 @@ def with_previous(
 ) -> DataFrame:
     """Adds, per ``{name: column}``, that column's value in the preceding row of the key.
 
-    Exact for null values too: the preceding row is carried as a struct.
+    The first row of a block takes the last row of the block before, null or not.
     """
-    blocked = with_time_block(df, ts, width_us or _width(keys)).withColumn(
-        "_row", F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    blocked = with_time_block(df, ts, width_us or _width(keys))
+    ends = blocked.groupBy(*keys, BLOCK).agg(
+        *[F.max_by(c, ts).alias(f"_end_{n}") for n, c in columns.items()]
+    )
+    sequence = Window.partitionBy(*keys).orderBy(BLOCK)
+    carried = ends.select(
+        *keys, BLOCK, *[F.lag(f"_end_{n}").over(sequence).alias(f"_in_{n}") for n in columns]
+    )
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(ts)
+    first = F.row_number().over(inside) == 1
+    return blocked.join(carried, [*keys, BLOCK], "left").select(
+        *df.columns,
+        *[
+            F.when(first, F.col(f"_in_{n}")).otherwise(F.lag(c).over(inside)).alias(n)
+            for n, c in columns.items()
+        ],
     )
-    carried = carry(blocked, keys, ts, last={"_row_in": "_row"})
-    _, _, base = block_windows(keys, ts)
-    previous = F.coalesce(F.lag("_row").over(base), F.col("_row_in"))
-    out = carried.withColumn("_prev", previous)
-    return out.select(*df.columns, *[F.col("_prev")[n].alias(n) for n in columns])

@@ -33,10 +33,10 @@ def to_grid(readings: DataFrame, width: str = "1 hour") -> DataFrame:
 def latest_per_timestamp(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one with the greatest ``order``; combines before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
+    # Column by column: numbers then aggregate in a hash table, without a sort.
     return (
         rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-        .select(*keys, "_row.*")
+        .agg(*[F.max_by(c, order).alias(c) for c in rest])
         .select(*rows.columns)
     )
 
@@ -117,26 +117,40 @@ def outliers(frame: DataFrame, threshold: float = 3.0, value: str = "value") ->
 
 
 def _neighbours(frame, keys, value, pos, block_rows):
-    """Adds the nearest known (value, pos) at or before, and at or after, each row."""
-    known = F.when(
-        F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(pos).alias("p"))
-    )
-    df = frame.withColumn("_known", known).withColumn(
-        BLOCK, F.floor(F.col(pos) / block_rows).cast("bigint")
-    )
-    df = carry(df, keys, pos, last={"_before": "_known"}, first={"_after": "_known"})
-    upto, onward, _ = block_windows(keys, pos)
+    """Adds the nearest known value and position at or before (``_v0``, ``_p0``), and at or after
+    (``_v1``, ``_p1``), each row. Without ``block_rows`` a key is one ordered group."""
+    df = frame.withColumn("_known", F.when(F.col(value).isNotNull(), F.col(pos)))
+    if block_rows is None:
+        upto = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        onward = Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, Window.unboundedFollowing)
+    else:
+        block = F.floor(F.col(pos) / block_rows).cast("bigint")
+        df = carry(
+            df.withColumn(BLOCK, block), keys, pos,
+            last={"_v0_in": value, "_p0_in": "_known"},
+            first={"_v1_in": value, "_p1_in": "_known"},
+        )
+        upto, onward, _ = block_windows(keys, pos)
+
+    def nearest(column, pick, window, outside):
+        inside = pick(column, True).over(window)
+        return inside if block_rows is None else F.coalesce(inside, F.col(outside))
+
     return (
-        df.withColumn("_v0", F.coalesce(F.last("_known", True).over(upto), F.col("_before")))
-        .withColumn("_v1", F.coalesce(F.first("_known", True).over(onward), F.col("_after")))
-        .drop("_known", "_before", "_after", BLOCK)
+        df.withColumn("_v0", nearest(value, F.last, upto, "_v0_in"))
+        .withColumn("_p0", nearest("_known", F.last, upto, "_p0_in"))
+        .withColumn("_v1", nearest(value, F.first, onward, "_v1_in"))
+        .withColumn("_p1", nearest("_known", F.first, onward, "_p1_in"))
+        .select(*frame.columns, "_v0", "_p0", "_v1", "_p1")
     )
 
 
 def _on_line(value: str, pos: str) -> Column:
-    v0, v1 = F.col("_v0"), F.col("_v1")
-    slope = (v1["v"] - v0["v"]) / (v1["p"] - v0["p"])
-    return F.coalesce(F.col(value), v0["v"] + slope * (F.col(pos) - v0["p"]))
+    slope = (F.col("_v1") - F.col("_v0")) / (F.col("_p1") - F.col("_p0"))
+    between = F.col("_p1") > F.col("_p0")
+    return F.coalesce(
+        F.col(value), F.when(between, F.col("_v0") + slope * (F.col(pos) - F.col("_p0")))
+    )
 
 
 def interpolate(
@@ -145,12 +159,12 @@ def interpolate(
     value: str = "value",
     out: str = "filled",
     pos: str = "pos",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Linear in row position; both ends repeat the nearest known value."""
     df = _neighbours(frame, keys, value, pos, block_rows)
-    filled = F.coalesce(_on_line(value, pos), F.col("_v0")["v"], F.col("_v1")["v"])
-    return df.withColumn(out, filled).drop("_v0", "_v1")
+    filled = F.coalesce(_on_line(value, pos), F.col("_v0"), F.col("_v1"))
+    return df.withColumn(out, filled).drop("_v0", "_p0", "_v1", "_p1")
 
 
 def interpolate_limited(
@@ -160,16 +174,16 @@ def interpolate_limited(
     value: str = "value",
     out: str = "filled",
     pos: str = "pos",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Linear on a regular step, forward only: at most ``limit`` steps into a gap.
 
     Rows before the first known value stay null; after the last one it repeats, up to the limit.
     """
     df = _neighbours(frame, keys, value, pos, block_rows)
-    reach = F.col(pos) - F.col("_v0")["p"] <= limit
-    filled = F.when(reach, F.coalesce(_on_line(value, pos), F.col("_v0")["v"]))
-    return df.withColumn(out, F.coalesce(F.col(value), filled)).drop("_v0", "_v1")
+    reach = F.col(pos) - F.col("_p0") <= limit
+    filled = F.when(reach, F.coalesce(_on_line(value, pos), F.col("_v0")))
+    return df.withColumn(out, F.coalesce(F.col(value), filled)).drop("_v0", "_p0", "_v1", "_p1")
 
 
 def fill_forward_backward(
@@ -178,12 +192,12 @@ def fill_forward_backward(
     value: str = "value",
     out: str = "filled",
     pos: str = "pos",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Last known value, else the next one."""
     df = _neighbours(frame, keys, value, pos, block_rows)
-    filled = F.coalesce(F.col(value), F.col("_v0")["v"], F.col("_v1")["v"])
-    return df.withColumn(out, filled).drop("_v0", "_v1")
+    filled = F.coalesce(F.col(value), F.col("_v0"), F.col("_v1"))
+    return df.withColumn(out, filled).drop("_v0", "_p0", "_v1", "_p1")
 
 
 def flagged(frame: DataFrame, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorlake.functions.times import MINUTE_US, from_micros, micros
+from sensorlake.functions.times import MINUTE_US, from_micros
 from sensorlake.operators.asof import match_times
 from sensorlake.operators.blocks import BLOCK_ROWS, rows_frame, with_position
 

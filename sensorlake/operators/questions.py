@@ -5,9 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from sensorlake.operators.series import last_rows
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Keywords per intent (first match wins), frame rows per intent, command forms.
 INTENT_WORDS = {
@@ -59,12 +57,15 @@ def parse_commands(log: DataFrame) -> DataFrame:
     kind = F.when(text.isin([f"/{k}" for k in COMMAND_PATTERNS]), "menu")
     args = [F.when(F.lit(False), "") for _ in range(3)]
     for name, pattern in COMMAND_PATTERNS.items():
-        hit = text.rlike(pattern)
+        # The plain prefix test spares most rows the pattern.
+        hit = text.startswith(f"/{name}_") & text.rlike(pattern)
         kind = kind.when(hit, name)
         for i in range(COMMAND_ARGS[name]):
             args[i] = args[i].when(hit, F.regexp_extract(text, pattern, i + 1))
-    prefix = "^/(" + "|".join(COMMAND_PATTERNS) + ")_"
-    kind = kind.when(text.rlike(prefix), "invalid")
+    prefixed = F.lit(False)
+    for name in COMMAND_PATTERNS:
+        prefixed = prefixed | text.startswith(f"/{name}_")
+    kind = kind.when(prefixed, "invalid")
     return log.select(
         "*", kind.alias("kind"), *[a.alias(f"arg{i + 1}") for i, a in enumerate(args)]
     )
@@ -77,34 +78,38 @@ def question_windows(questions: DataFrame, frame: DataFrame) -> DataFrame:
     Windows depend only on the intent, so they are summed once per intent and node, then joined.
     """
     asked = with_node(with_intent(questions))
-    parts = []
-    for intent, rows in INTENT_ROWS.items():
-        window = last_rows(frame, rows)
-        size = window.agg(F.count_distinct("ts").alias("n"))
-        shown = last_rows(frame, min(rows, SHOWN_ROWS))
-        counts = (
-            shown.groupBy("node")
-            .agg(F.count("value").alias("n_values"))
-            .unionByName(
-                shown.agg(F.count("value").alias("n_values")).withColumn("node", F.lit("all"))
-            )
-        )
-        parts.append(
-            counts.select(
-                F.lit(intent).alias("intent"),
-                F.col("node").alias("scope"),
-                size.scalar().alias("window_rows"),
-                F.least(size.scalar(), F.lit(SHOWN_ROWS)).alias("shown_rows"),
-                shown.agg(F.min("ts")).scalar().alias("shown_from"),
-                "n_values",
-            )
+    deepest = max(INTENT_ROWS.values())
+    newest = (
+        frame.select("ts").distinct().orderBy(F.desc("ts")).limit(deepest)
+        # At most as many rows as the deepest window.
+        .withColumn("k", F.row_number().over(Window.orderBy(F.desc("ts"))))
+    )
+    sizes = F.array(
+        *[F.struct(F.lit(i).alias("intent"), F.lit(n).alias("n")) for i, n in INTENT_ROWS.items()]
+    )
+
+    def per_intent(rows):
+        reaching = F.filter(sizes, lambda s: s["n"] >= F.col("k"))
+        return rows.withColumn("_size", F.explode(reaching)).withColumn(
+            "intent", F.col("_size.intent")
         )
-    windows = parts[0]
-    for part in parts[1:]:
-        windows = windows.unionByName(part)
-    return asked.withColumn("scope", F.coalesce("node", F.lit("all"))).join(
-        windows, ["intent", "scope"], "left"
-    ).drop("scope")
+
+    spans = per_intent(newest).groupBy("intent").agg(
+        F.count(F.lit(1)).alias("window_rows"),
+        F.least(F.count(F.lit(1)), F.lit(SHOWN_ROWS)).alias("shown_rows"),
+        F.min(F.when(F.col("k") <= SHOWN_ROWS, F.col("ts"))).alias("shown_from"),
+    )
+    shown = per_intent(frame.join(newest.filter(F.col("k") <= SHOWN_ROWS), "ts"))
+    counts = shown.rollup("intent", "node").agg(F.count("value").alias("n_values"))
+    scoped = counts.filter("intent IS NOT NULL").select(
+        "intent", F.coalesce("node", F.lit("all")).alias("scope"), "n_values"
+    )
+    return (
+        asked.withColumn("scope", F.coalesce("node", F.lit("all")))
+        .join(spans, "intent", "left")
+        .join(scoped, ["intent", "scope"], "left")
+        .drop("scope")
+    )
 
 
 def _lcs(masks: dict[str, int], length: int, text: str) -> int:

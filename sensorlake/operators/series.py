@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorlake import schema
 from sensorlake.functions.text import fixed_text
-from sensorlake.functions.times import DAY_US, HOUR_US, MINUTE_US, floor_to, from_micros, micros
+from sensorlake.functions.times import MINUTE_US, floor_to, from_micros, micros
 from sensorlake.operators.alerts import score_breaches
 from sensorlake.operators.blocks import BLOCK_ROWS, rows_frame, with_position, with_previous
 from sensorlake.operators.clean import interpolate_limited
@@ -215,28 +215,37 @@ def resample_smoothed(readings: DataFrame, width: str = "30 minutes", **options)
 def day_frames(readings: DataFrame, width_us: int = 30 * MINUTE_US) -> DataFrame:
     """Mean per local day and half hour, with the empty half hours between the first and last.
 
-    The spine is made per day and channel from two aggregates, so it never shuffles readings.
+    A channel's means of a day form one map, at most a day's steps long; the spine is generated
+    from it, so the readings are scanned and shuffled once.
     """
-    known = readings.withColumn("day", F.to_date("ts"))
     step = F.floor(micros("ts") / width_us).cast("bigint")
-    means = known.groupBy("day", *KEYS, step.alias("step")).agg(F.avg("value").alias("value"))
-    ends = known.groupBy("day").agg(F.min(step).alias("_first"), F.max(step).alias("_last"))
-    spine = (
-        known.select("day", *KEYS)
-        .distinct()
-        .join(ends, "day")
-        .withColumn("step", F.explode(F.sequence("_first", "_last")))
-        .withColumn("pos", F.col("step") - F.col("_first"))
-        .drop("_first", "_last")
+    means = readings.groupBy(F.to_date("ts").alias("day"), *KEYS, step.alias("step")).agg(
+        F.avg("value").alias("value")
     )
-    return spine.join(means, ["day", *KEYS, "step"], "left").select(
-        "day", from_micros(F.col("step") * width_us).alias("ts"), "pos", *KEYS, "value"
+    whole_day = Window.partitionBy("day")
+    return (
+        means.groupBy("day", *KEYS)
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("_means"),
+            F.min("step").alias("_first"),
+            F.max("step").alias("_last"),
+        )
+        .withColumn("_first", F.min("_first").over(whole_day))
+        .withColumn("_last", F.max("_last").over(whole_day))
+        .withColumn("step", F.explode(F.sequence("_first", "_last")))
+        .select(
+            "day",
+            from_micros(F.col("step") * width_us).alias("ts"),
+            (F.col("step") - F.col("_first")).alias("pos"),
+            *KEYS,
+            F.try_element_at("_means", F.col("step")).alias("value"),
+        )
     )
 
 
 def filled_day_frames(frames: DataFrame, limit: int = 6) -> DataFrame:
-    """Day frames with gaps of at most ``limit`` steps bridged."""
-    return interpolate_limited(frames, limit, ["day", *KEYS])
+    """Day frames with gaps of at most ``limit`` steps bridged; a day of a channel is one group."""
+    return interpolate_limited(frames, limit, ["day", *KEYS], block_rows=None)
 
 
 def hourly_snapshots(readings: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -21,14 +21,17 @@ def _surface(
     """One value per cell for every ``by`` group.
 
     The node values of a group become columns of one row first; the cells are generated from that
-    row, so nothing is joined or shuffled per cell.
+    row, so no join or shuffle sees cells. Groups are few and small while their cells are many, so
+    the grid lines are spread over a fixed number of tasks before the columns are generated.
     """
     nodes = [p[0] for p in positions]
     wide = readings.groupBy(*by).pivot("node", nodes).agg(F.first("value", True))
     known = F.greatest(*[F.col(n).isNotNull() for n in nodes])
+    tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = (
         wide.filter(known)
         .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
+        .repartition(tasks, *by, "row")
         .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
         .withColumn("x", F.col("col") * (width / (nx - 1)))
         .withColumn("y", F.col("row") * (height / (ny - 1)))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sensorlake import schema
 from sensorlake.operators import alerts, anomaly, evaluate
-from sensorlake.operators.clean import to_grid
 from sensorlake.plans.base import (
     CLEAN,
     NOTICES,

@@ -273,6 +273,35 @@ def _(spark, d):
     return forecast.ensemble(forecast.predict_history(rows, models, scaler))
 
 
+@query(
+    "j05_snapshot_given_coefficients",
+    f"""WITH {SCALER}, z AS (
+      SELECT d.*, mu, sigma, (delta - mu) / sigma AS z,
+        row_number() OVER (PARTITION BY node, metric ORDER BY pos DESC) AS k
+      FROM deltas d JOIN scaler USING (node, metric)),
+    hops AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM times),
+    guess AS (
+      SELECT node, metric, max(ts) AS issue_ts, max(CASE WHEN k = 1 THEN value END) AS level,
+        (0.1 + 0.5 * max(CASE WHEN k = 1 THEN z END) - 0.25 * max(CASE WHEN k = 20 THEN z END))
+          * max(sigma) + max(mu) AS delta
+      FROM z WHERE k <= 20 GROUP BY node, metric)
+    SELECT epoch_us(issue_ts) AS issue_ts_us, CAST(trunc(epoch_us(issue_ts) + (
+        SELECT quantile_cont(gap, 0.5) FROM hops WHERE gap > 0)) AS BIGINT) AS target_ts_us,
+      node, metric, round(level, 6) AS current, round(level + delta, 6) AS predicted,
+      round(delta, 6) AS delta FROM guess""",
+)
+def _(spark, d):
+    rows = settled(spark, d)
+    deltas = forecast.differences(rows)
+    scaled = forecast.standardise(deltas, forecast.delta_scaler(deltas))
+    # Intercept, the oldest difference, ..., the newest one.
+    beta = [0.1, -0.25, *[0.0] * (forecast.LAGS - 2), 0.5]
+    model = rows.select(*KEYS).distinct().withColumn("beta", F.array(*map(F.lit, beta)))
+    return forecast.snapshot(
+        forecast.predict_next(forecast.latest_window(scaled), model), rows
+    )
+
+
 @query("j05_forecast_snapshot")
 def _(spark, d):
     predictions, rows = next_step(spark, d)

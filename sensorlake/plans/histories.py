@@ -21,7 +21,6 @@ from sensorlake.plans.base import (
     rounded,
     scored_sql,
 )
-from sensorlake.session import materialise
 
 LATEST = f"""{READINGS}, latest AS (
   SELECT node, metric, max(ts) AS ts, arg_max(value, ts) AS value FROM readings
@@ -304,7 +303,7 @@ def _(spark, d):
     return series.silent_nodes(readings(spark, d), schema.nodes(spark))
 
 
-# A stuck sensor: every tenth frame row of a channel repeats, so that some channels freeze.
+# Two CO2 sensors that are stuck at one value, so that some channels freeze.
 STUCK = """stuck AS (
   SELECT ts, pos, node, metric, CASE WHEN node IN ('M6', 'M9') AND metric = 'CO2' THEN 512.0
     ELSE value END AS value FROM frame)"""

@@ -14,7 +14,6 @@ from sensorlake.functions.times import floor_to
 from sensorlake.operators.clean import latest_per_timestamp
 from sensorlake.plans.base import (
     EVENT_TYPES,
-    METRIC_CASE,
     NODE_CASE,
     READINGS,
     frame,

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def build_session(master: str | None = None, app_name: str = "sensorlake", **conf) -> SparkSession:
     """Session with adaptive execution on and the zone fixed to UTC.
@@ -37,7 +39,17 @@ def work_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="sensorlake-")
-    return f"{base.rstrip('/')}/sensorlake-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/sensorlake-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard_work(spark: SparkSession) -> None:
+    """Deletes the working folders of this process; results that still read them become unusable."""
+    for path in _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _made.clear()
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -96,8 +96,7 @@ def append(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in both.columns if c not in keys]
     return (
         both.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col("logged_at")).alias("_row"))
-        .select(*keys, "_row.*")
+        .agg(*[F.max_by(c, "logged_at").alias(c) for c in rest])
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from sensorlake.session import build_session  # noqa: E402
+from sensorlake.session import build_session, discard_work  # noqa: E402
 
 START = dt.datetime(2024, 3, 1)
 
@@ -23,7 +23,8 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    discard_work(session)
 
 
 def at(minutes: float = 0, seconds: float = 0) -> dt.datetime:

@@ -1,7 +1,6 @@
 import random
 from difflib import SequenceMatcher
 
-import pytest
 from conftest import make_frame
 
 from sensorlake.operators import questions
