@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sensorlake.functions.text import NUMBER_PATTERN
 
 PAYLOAD_TYPE = "map<string,string>"
+# Nothing but an object: the parser alone would take an array, or text after the closing brace.
+OBJECT_PATTERN = r"^\s*\{[\s\S]*\}\s*$"
 
 
 def _number(text: Column) -> Column:
@@ -22,11 +24,11 @@ def parse_messages(messages: DataFrame, devices: DataFrame, keep: list[str] = []
     """
     data = F.from_json("payload", PAYLOAD_TYPE)
     shaped = messages.withColumn("device", F.element_at(F.split("topic", "/"), -1)).filter(
-        F.trim("payload").startswith("{")
+        F.col("payload").rlike(OBJECT_PATTERN)
     )
     known = shaped.join(devices, "device").withColumn("_data", data)
-    # A broken object parses to null or to a map without entries.
-    valid = known.filter(F.col("_data").isNotNull() & F.try_parse_json("payload").isNotNull())
+    # A broken object parses to null.
+    valid = known.filter(F.col("_data").isNotNull())
 
     def whole(name):
         return _number(F.col("_data")[name]).try_cast("bigint")

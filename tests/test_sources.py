@@ -82,15 +82,15 @@ def test_messages(spark):
         ("esp/esp01", good), ("a/b/esp10", '{"co2": "412.9", "tvoc": "inf", "t1": "x"}'),
         ("esp/esp99", good), ("esp/esp01", ""), ("esp/esp01", "{bad"), ("esp/esp01", "[1]"),
         ("esp/esp04", '{"tvoc": -3.7, "h1": null}'), ("esp/esp06", '"text"'), ("esp/esp07", "{}"),
-        ("esp/esp08", None),
+        ("esp/esp08", None), ("esp/esp09", good + " x"), ("esp/esp11", "\n{} \n"),
     ]
     df = spark.createDataFrame([(t, p, at(0)) for t, p in rows], "topic string, payload string, arrival_ts timestamp_ntz")
     got = {r.node_id: (r.temp, r.humidity, r.co2, r.tvoc) for r in telemetry.parse_messages(df, schema.devices(spark)).collect()}
     assert got == {
         "M1": (30.2, 66.5, 400, 0), "M10": (None, None, 412, None), "M4": (None, None, None, -3),
-        "M7": (None, None, None, None),
+        "M7": (None, None, None, None), "M11": (None, None, None, None),
     }
-    assert telemetry.to_readings(telemetry.parse_messages(df, schema.devices(spark))).count() == 16
+    assert telemetry.to_readings(telemetry.parse_messages(df, schema.devices(spark))).count() == 20
 
 
 def test_weather_payload(spark):
