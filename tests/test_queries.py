@@ -5,6 +5,7 @@ import pytest
 
 from check import TABLES, compare
 import __spark_entry__ as entry
+from sensorlake.plans import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -46,12 +47,12 @@ def duck():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_sql_texts_are_valid(duck):
-    for sql in entry.oracle_sql().values():
+    for sql in ORACLES.values():
         duck.execute("EXPLAIN " + sql)
 
 
