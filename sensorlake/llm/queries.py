@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlake.llm import content_sort, fair_mix
+from sensorlake.llm import content_sort, fair_mix, ftrl, hyperminhash, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_token_transducer")
+def op2_token_transducer(spark, sf_dir):
+    import public_tokenizers
+
+    return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_ftrl_quality")
+def op3_ftrl_quality(spark, sf_dir):
+    return ftrl.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_hyperminhash")
+def op4_hyperminhash(spark, sf_dir):
+    return hyperminhash.near_groups(table(spark, sf_dir, "documents"), hyperminhash.Settings(words=2))
+
+
 @query(
     "op5_fair_mix",
     r"""
