@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlake.llm import content_sort, fair_mix, ftrl, hyperminhash, transducer
+from sensorlake.llm import content_sort, decontaminate, fair_mix, ftrl, hyperminhash, kneser_ney, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,16 @@ def op5_fair_mix(spark, sf_dir):
     )
 
 
+@query("op8_kneser_ney")
+def op8_kneser_ney(spark, sf_dir):
+    return kneser_ney.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_seed_align")
+def op9_seed_align(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op10_content_sort",
     """
