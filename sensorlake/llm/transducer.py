@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Characters in a stretch, and sizes at which the lazily built tables start again.
 STRETCH = 1 << 16
-MOST_WORDS = 300_000
-MOST_STATES = 250_000
+MOST_WORDS = 600_000
+MOST_STATES = 400_000
 
 
 @dataclass(frozen=True)
