@@ -271,7 +271,8 @@ def near_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id"
     )
     links = (
-        tasks.join(slim.withColumnRenamed("doc_id", "id"), "id")
+        # Always by shuffle: the tasks grow with the documents.
+        tasks.hint("merge").join(slim.withColumnRenamed("doc_id", "id"), "id")
         .repartition("cluster", "low", "high")
         .sortWithinPartitions("cluster", "low", "high")
         .mapInArrow(_verified(s), "a long, b long")
