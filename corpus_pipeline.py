@@ -1,29 +1,55 @@
-"""Corpus pipeline: stages from raw documents to a training mix."""
+"""Corpus pipeline: from raw documents to a training mix.
+
+Every stage works on all rows that the one before kept. All but the last return the columns of
+``documents``; the last adds the number of copies and the place in the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorlake.llm import content_sort, fair_mix
+from sensorlake.llm import content_sort, decontaminate, fair_mix, ftrl, hyperminhash
 from sensorlake.session import materialise
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return ftrl.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text stays, the one with the smallest id."""
     return content_sort.exact_dedup(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return hyperminhash.near_dedup(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a test item go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies."""
+    """The documents that the mix takes, with ``mix_copies`` and ``mix_finish``."""
     return fair_mix.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("source mix", source_mix)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("source mix", source_mix),
+]
+#: SQL cannot express the trained and the approximate stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sensorlake.llm import tokens
-from sensorlake.session import materialise
 
 SEED = 3
 FLAG_BITS = 20
@@ -95,8 +94,7 @@ class Items:
         place = np.arange(len(owner)) - first[np.maximum(owner, 0)]
         # An item without a rare seed, or too short for one, is searched by all it has.
         takes = (owner >= 0) & (np.isin(value, rare) | ~np.isin(owner, owner[np.isin(value, rare)]))
-        short = [i for i, w in enumerate(words) if 0 < len(w) < SEED]
-        self.short = {int(words[i][0]): i for i in short}
+        self.short = [i for i, w in enumerate(words) if 0 < len(w) < SEED]
         order = np.argsort(value[takes], kind="stable")
         self.value, self.owner, self.place = value[takes][order], owner[takes][order], place[takes][order]
         self.flags = np.zeros(1 << FLAG_BITS, bool)
@@ -128,31 +126,37 @@ class Items:
                 yield int(i), share, best[1], best[2], best[3]
 
 
-def _searched(items, kind: str):
+def _finds(batch: pa.RecordBatch, block: Items) -> Iterator[tuple]:
+    """``row, item position, score share, equal words, first word, last word`` of a batch."""
+    data, offsets = _lower_words(batch.column("text"))
+    shift = np.uint64(64 - FLAG_BITS)
+    for a, b in tokens.slices(offsets):
+        text, _, words, _ = tokens.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokens.LETTERS)
+        of, value = tokens.grams(text, words, SEED)
+        hit = np.flatnonzero(block.flags[(value >> shift).astype(np.int64)] & (of >= 0))
+        if len(hit):
+            place = np.searchsorted(block.value, value[hit])
+            hit = hit[block.value[np.minimum(place, len(block.value) - 1)] == value[hit]]
+        for t in np.unique(of[hit]):
+            first, last = np.searchsorted(text, [t, t + 1])
+            mine = hit[of[hit] == t]
+            for found in block.find(words[first:last], mine - first, value[mine]):
+                yield a + int(t), *found
+        if block.short:
+            counts = np.bincount(text, minlength=b - a)
+            for t in np.flatnonzero((counts > 0) & (counts < SEED)):
+                mine = words[text == t]
+                for i in block.short:
+                    if np.array_equal(mine, block.words[i]):
+                        yield a + int(t), i, 1.0, len(mine), 0, len(mine) - 1
+
+
+def _searched(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
         for batch in batches:
             ids = batch.column("doc_id")
-            rows: list[tuple] = []
-            data, offsets = _lower_words(batch.column("text"))
-            for a, b in tokens.slices(offsets):
-                text, _, words, _ = tokens.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokens.LETTERS)
-                of, value = tokens.grams(text, words, SEED)
-                hit = np.flatnonzero(block.flags[(value >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] & (of >= 0))
-                if len(hit):
-                    place = np.searchsorted(block.value, value[hit])
-                    hit = hit[block.value[np.minimum(place, len(block.value) - 1)] == value[hit]]
-                for t in np.unique(of[hit]):
-                    first, last = np.searchsorted(text, [t, t + 1])
-                    mine = hit[of[hit] == t]
-                    for found in block.find(words[first:last], mine - first, value[mine]):
-                        rows.append((ids[a + int(t)].as_py(), block.ids[found[0]], *found[1:]))
-                if block.short:
-                    for t in np.flatnonzero(np.bincount(text, minlength=b - a) < SEED):
-                        mine = words[text == t]
-                        for i in {block.short[w] for w in mine.tolist() if w in block.short}:
-                            if np.array_equal(mine, block.words[i]):
-                                rows.append((ids[a + int(t)].as_py(), block.ids[i], 1.0, len(mine), 0, len(mine) - 1))
+            rows = [(ids[t].as_py(), block.ids[found[0]], *found[1:]) for t, *found in _finds(batch, block)]
             yield pa.RecordBatch.from_pandas(
                 pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "equal", "first_word", "last_word"]),
                 schema=pa.schema([("doc_id", ids.type), ("item_id", pa.int64()), ("score", pa.float64()), ("equal", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]),
@@ -162,6 +166,16 @@ def _searched(items, kind: str):
     return run
 
 
+def _cleared(items):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            stays[[t for t, *_ in _finds(batch, items.value)]] = False
+            yield batch.filter(pa.array(stays))
+
+    return run
+
+
 def _word_counts(vocabulary):
     """Per task: counts of the items' words, and the number of all words under key 0."""
 
@@ -228,24 +242,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     Repeated rows are reported once per row; equal items under several ids are reported for each.
     Without documents or items there are no rows.
     """
-    s = settings
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, equal long, first_word long, last_word long"
-    found = spark.createDataFrame([], schema)
-    for block in item_blocks(benchmark, s):
-        kept = [(i, item_words(t)) for i, t in block]
-        kept = [(i, w) for i, w in kept if len(w)]
-        if not kept:
-            continue
-        words = [w for _, w in kept]
-        items = spark.sparkContext.broadcast(Items([i for i, _ in kept], words, rare_seeds(docs, words, s), s))
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_searched(items, kind), schema))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in searches(docs, benchmark, settings):
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_searched(items), schema))
     return found
 
 
+def searches(docs: DataFrame, benchmark: DataFrame, s: Settings):
+    """The blocks of test items, each sent to the tasks."""
+    for block in item_blocks(benchmark, s):
+        kept = [(i, w) for i, w in ((i, item_words(t)) for i, t in block) if len(w)]
+        if kept:
+            words = [w for _, w in kept]
+            items = Items([i for i, _ in kept], words, rare_seeds(docs, words, s), s)
+            yield docs.sparkSession.sparkContext.broadcast(items)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` without a passage of a test item, with the input's columns. Rows with a
-    null id stay."""
-    hit = materialise(leaks(docs, benchmark, settings).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(hit, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """The rows of ``docs`` without a passage of a test item, with the input's columns."""
+    clean = docs
+    for items in searches(docs, benchmark, settings):
+        clean = clean.mapInArrow(_cleared(items), docs.schema)
+    return clean

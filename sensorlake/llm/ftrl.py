@@ -127,6 +127,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), f
     return np.frombuffer(fitted["weights"], "<f4")
 
 
+def probabilities(column: pa.Array, w: np.ndarray, bits: int) -> np.ndarray:
+    """Score of every text; the intercept's for null and empty ones."""
+    data, offsets = tokens.utf8(column)
+    total = np.full(len(offsets) - 1, w[-1])
+    for a, b in tokens.slices(offsets):
+        of, place, value = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
+        total[a:b] += np.bincount(of, weights=w[place] * value, minlength=b - a)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, bits: int, threshold: float = 0.3) -> DataFrame:
     """``score`` and ``predicted`` beside ``doc_id`` and ``held`` of every row of ``docs``.
 
@@ -137,14 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int, threshold: float = 0.
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
         for batch in batches:
-            data, offsets = tokens.utf8(batch.column("text"))
-            total = np.full(len(offsets) - 1, w[-1])
-            for a, b in tokens.slices(offsets):
-                of, place, value = features(
-                    data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits
-                )
-                total[a:b] += np.bincount(of, weights=w[place] * value, minlength=b - a)
-            p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            p = probabilities(batch.column("text"), w, bits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held"), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -166,6 +169,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     return score(marked, weights, settings.bits)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with the input's columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, settings).astype(np.float64))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column("text"), model.value, settings.bits) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def crc_fold(doc_id, folds: int) -> int:
     """The fold of an id, as ``held_out`` has it."""
     return zlib.crc32(str(doc_id).encode()) % folds

@@ -3,8 +3,8 @@
 Two interpolated bigram models, one of toxic and one of ordinary documents, share their lowest order:
 word counts over all documents. A word's or pair's count in a class is discounted, and what the
 discounts free goes to the next lower order, so rare expressions are judged by the shared counts and
-say nothing about the class. The second order of a class counts the different words before a word,
-not its occurrences, so that copies of a document count once.
+say nothing about the class. A class's orders count the different words before a pair or word, not
+occurrences, so copies of a document count once.
 
 A text is compared in stretches of a few words: the difference of the two log-likelihoods, divided by
 the number of words. The score comes from the highest stretch, because a few words make a long text
@@ -13,6 +13,7 @@ toxic; a logistic curve, fitted on labelled documents that the models have not s
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,13 @@ U = np.uint64
 @dataclass(frozen=True)
 class Settings:
     #: Bound of the labelled documents of each class, the first ones by a hash of their id.
-    most_rows: int = 6_000
+    most_rows: int = 4_000
     #: Places for the shared word counts; words that share a place share their counts.
     bits: int = 21
-    #: Largest discount. It is lowered to a quarter of what the class's documents would give a word
-    #: that is in one of a hundred.
-    discount: float = 5.0
+    #: Discounts of a word's and a pair's count; below them a count is no evidence of a class. Edited
+    #: copies put one pair after many words, hence the larger one.
+    discount: float = 4.0
+    pair_discount: float = 30.0
     stretch: int = 2
     threshold: float = 0.3
 
@@ -94,28 +96,32 @@ class ClassModel:
     """Discounted counts of one class over shared word probabilities."""
 
     def __init__(self, columns: list[pa.Array], shared: np.ndarray, s: Settings):
-        keys, followers = [], []
+        thirds = []
         for column in columns:
             for _, _, text, words in _words(column):
                 before = _pairs(text, words)
-                keys.append(np.stack([before, words]))
-        both = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.uint64)
-        # Pairs with their counts, in the order of a hash of both words.
-        pair = _pair_hash(both[0], both[1])
-        self.pair, first, self.pair_count = np.unique(pair, return_index=True, return_counts=True)
-        before, word = both[0][first], both[1][first]
-        del both, pair, followers
-        # Different words before a word.
+                earlier = np.zeros_like(before)
+                earlier[1:] = np.where(before[1:] != 0, before[:-1], U(0))
+                # One of each three-word run is enough: copies of a text add nothing.
+                _, first = np.unique(_pair_hash(_pair_hash(earlier, before), words), return_index=True)
+                thirds.append(np.stack([earlier[first], before[first], words[first]]))
+        triple = np.concatenate(thirds, axis=1) if thirds else np.zeros((3, 0), np.uint64)
+        _, first = np.unique(_pair_hash(_pair_hash(triple[0], triple[1]), triple[2]), return_index=True)
+        before, word = triple[1][first], triple[2][first]
+        del triple, thirds
+        # Different words before a pair, and different words before a word.
+        self.pair, first, times = np.unique(_pair_hash(before, word), return_index=True, return_counts=True)
+        self.pair_count = times.astype(np.float32)
+        before, word = before[first], word[first]
         self.word, self.word_count = np.unique(word, return_counts=True)
-        rows = sum(len(c) for c in columns)
-        d = self.discount = min(s.discount, max(0.5, rows / 400))
+        d, self.pair_discount = s.discount, s.pair_discount
         total = max(len(word), 1)
         self.word_rate = np.maximum(self.word_count - d, 0) / total
         self.word_free = (1 - self.word_rate.sum()) if len(word) else 1.0
         # Occurrences of a word as a context and what its discounted pairs free.
         self.context, at = np.unique(before, return_inverse=True)
         uses = np.bincount(at, weights=self.pair_count, minlength=len(self.context))
-        kept = np.bincount(at, weights=np.maximum(self.pair_count - d, 0), minlength=len(self.context))
+        kept = np.bincount(at, weights=np.maximum(self.pair_count - self.pair_discount, 0), minlength=len(self.context))
         self.context_uses = uses
         self.context_free = 1 - kept / np.maximum(uses, 1)
 
@@ -125,7 +131,7 @@ class ClassModel:
         free = np.where(known, free, 1.0)
         pairs, seen = _look(self.pair, self.pair_count, _pair_hash(before, words))
         rate, _ = _look(self.word, self.word_rate, words)
-        high = np.where(seen, np.maximum(pairs - self.discount, 0) / np.maximum(uses, 1), 0.0)
+        high = np.where(seen, np.maximum(pairs - self.pair_discount, 0) / np.maximum(uses, 1), 0.0)
         return np.log(high + free * (rate + self.word_free * lowest))
 
 
@@ -148,6 +154,20 @@ class Models:
         self.lowest = ((shared + 0.1) / (shared.sum() + 0.1 * len(shared))).astype(np.float32)
         self.toxic, self.ordinary = ClassModel(toxic, shared, s), ClassModel(ordinary, shared, s)
 
+    def state(self) -> dict:
+        """Plain arrays and numbers, to be sent to other processes."""
+        return {"lowest": self.lowest, "toxic": vars(self.toxic), "ordinary": vars(self.ordinary)}
+
+    @classmethod
+    def from_state(cls, state: dict, s: Settings) -> Models:
+        out = cls.__new__(cls)
+        out.settings, out.lowest = s, state["lowest"]
+        for name in ("toxic", "ordinary"):
+            model = ClassModel.__new__(ClassModel)
+            vars(model).update(state[name])
+            setattr(out, name, model)
+        return out
+
     def highest(self, column: pa.Array) -> np.ndarray:
         """Highest length-normalised difference of a text's stretches; -5 without words."""
         s = self.settings
@@ -208,8 +228,6 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: i
     counts = spark.sparkContext.broadcast(shared.astype(np.float32))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
         group = group.drop_duplicates("doc_id").sort_values(["at", "doc_id"])
         label = group["label"].to_numpy()
         half = np.arange(len(group)) % 2
@@ -227,13 +245,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: i
                 y.append(label[half != side])
         models = Models([columns[1]], [columns[0]], total, s)
         slope, offset = logistic(np.concatenate(x), np.concatenate(y).astype(float)) if x else (1.0, 0.0)
-        return pd.DataFrame({"model": [pickle.dumps((models, slope, offset), protocol=5)]})
+        return pd.DataFrame({"model": [pickle.dumps((models.state(), slope, offset), protocol=5)]})
 
     fitted = rows.groupBy(F.lit(1).alias("one")).applyInPandas(fit, "model binary").first()
     if fitted is None:
         return None, 0.0, -10.0
-    import pickle
-
     return pickle.loads(bytes(fitted["model"]))
 
 
@@ -247,7 +263,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, s, folds, out))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, slope, offset = model.value
+        state, slope, offset = model.value
+        models = state and Models.from_state(state, s)
         for batch in batches:
             column = batch.column("text")
             x = np.zeros(len(column)) if models is None else models.highest(column)

@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from sensorlake.llm import content_sort, decontaminate, fair_mix, ftrl, hyperminhash, kneser_ney, transducer
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sensorlake.llm import (
+    content_sort,
+    decontaminate,
+    fair_mix,
+    ftrl,
+    hyperminhash,
+    kneser_ney,
+    license_scan,
+    transducer,
+    url_lists,
+    wrappers,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +37,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries made from the hosts that the pages have: hosts that are blocked and taken off
+    again, parent domains that are blocked, and allowed paths."""
+    hosts = pages.select(url_lists.host(F.col("url")).alias("h")).filter("h <> ''").distinct().withColumn(
+        "x", F.conv(F.substring(F.md5("h"), 1, 4), 16, 10).cast("int")
+    )
+
+    def entry(rule: str, verdict: str, day: str, which: str) -> DataFrame:
+        return hosts.filter(which).selectExpr(
+            f"{rule} AS rule", f"'{verdict}' AS verdict", f"date_add(DATE '2024-01-01', {day}) AS listed_at"
+        )
+
+    return (
+        entry("h", "block", "x % 366", "x % 3 = 0")
+        .unionByName(entry("h", "drop", "x % 366 + 60", "x % 3 = 0"))
+        .unionByName(entry("regexp_replace(h, '^[^.]+[.]', '')", "block", "x % 200", "x % 5 = 0"))
+        .unionByName(entry("concat(h, '/en/')", "allow", "x % 100", "x % 2 = 0"))
+    )
+
+
+@query(
+    "op1_temporal_list",
+    r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched,
+         regexp_replace(lower(regexp_extract(COALESCE(url, ''),
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS host,
+         regexp_extract(COALESCE(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+hosts AS (
+  SELECT host AS h, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS x
+  FROM captures WHERE host <> '' GROUP BY host),
+entries AS (
+  SELECT h AS rule, 'block' AS verdict, DATE '2024-01-01' + x % 366 AS valid_from FROM hosts WHERE x % 3 = 0
+  UNION ALL SELECT h, 'drop', DATE '2024-01-01' + (x % 366 + 60) FROM hosts WHERE x % 3 = 0
+  UNION ALL SELECT regexp_replace(h, '^[^.]+[.]', ''), 'block', DATE '2024-01-01' + x % 200 FROM hosts WHERE x % 5 = 0
+  UNION ALL SELECT h || '/en/', 'allow', DATE '2024-01-01' + x % 100 FROM hosts WHERE x % 2 = 0),
+dated AS (SELECT rule, valid_from, MIN(verdict) AS verdict FROM entries GROUP BY rule, valid_from),
+listed AS (
+  SELECT *, LEAD(valid_from) OVER (PARTITION BY rule ORDER BY valid_from) AS valid_to FROM dated),
+tried AS (
+  SELECT DISTINCT page_id, url, fetched, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1),
+                   lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(string_split(path, '/'))),
+                   lambda i: host || array_to_string(string_split(path, '/')[1:i], '/') || '/'))) AS rule
+  FROM captures WHERE host <> ''),
+ranked AS (
+  SELECT t.*, l.verdict, l.valid_from,
+         row_number() OVER (PARTITION BY t.page_id, t.url, t.fetched ORDER BY length(t.rule) DESC, t.rule DESC) AS place
+  FROM tried t JOIN listed l ON t.rule = l.rule AND t.fetched >= l.valid_from
+       AND (l.valid_to IS NULL OR t.fetched < l.valid_to) AND l.verdict <> 'drop')
+SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, c.host, COALESCE(r.verdict, 'none') AS verdict,
+       r.rule, CAST(r.valid_from AS VARCHAR) AS rule_from
+FROM captures c LEFT JOIN ranked r ON c.page_id = r.page_id AND c.url = r.url AND r.place = 1
+""",
+)
+def op1_temporal_list(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("date_add(DATE '2024-01-01', CAST(page_id * 37 % 366 AS INT))").alias("fetched"))
+    return url_lists.judge(captures, dated_entries(pages)).select(
+        "page_id", "url", F.col("fetched").cast("string").alias("fetched"), "host", "verdict", "rule",
+        F.col("rule_from").cast("string").alias("rule_from"),
+    )
+
+
 @query("op2_token_transducer")
 def op2_token_transducer(spark, sf_dir):
     import public_tokenizers
@@ -93,6 +170,16 @@ def op5_fair_mix(spark, sf_dir):
     )
 
 
+@query("op6_wrapper_induction")
+def op6_wrapper_induction(spark, sf_dir):
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op7_license_windows")
+def op7_license_windows(spark, sf_dir):
+    return license_scan.license_finds(table(spark, sf_dir, "documents"))
+
+
 @query("op8_kneser_ney")
 def op8_kneser_ney(spark, sf_dir):
     return kneser_ney.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
