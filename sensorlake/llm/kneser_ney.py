@@ -122,8 +122,14 @@ class ClassModel:
         self.context, at = np.unique(before, return_inverse=True)
         uses = np.bincount(at, weights=self.pair_count, minlength=len(self.context))
         kept = np.bincount(at, weights=np.maximum(self.pair_count - self.pair_discount, 0), minlength=len(self.context))
-        self.context_uses = uses
-        self.context_free = 1 - kept / np.maximum(uses, 1)
+        # Counts below the discounts add nothing; contexts without a kept pair free everything.
+        some, known = kept > 0, self.word_count > d
+        self.context, self.context_uses = self.context[some], uses[some]
+        self.context_free = 1 - kept[some] / uses[some]
+        self.word, self.word_rate = self.word[known], self.word_rate[known]
+        del self.word_count
+        many = self.pair_count > self.pair_discount
+        self.pair, self.pair_count = self.pair[many], self.pair_count[many]
 
     def log_probability(self, before: np.ndarray, words: np.ndarray, lowest: np.ndarray) -> np.ndarray:
         uses, known = _look(self.context, self.context_uses, before)
