@@ -42,10 +42,16 @@ def reconcile(log: DataFrame, readings: DataFrame, tolerance: int) -> DataFrame:
         .withColumn("abs_error", F.abs("residual"))
         .withColumn("matched", F.col("residual").isNotNull())
     )
-    complete = filled.groupBy("issue_ts", "target_ts").agg(
-        F.bool_and("matched").alias("ground_truth_matched")
+    complete = (
+        filled.filter(F.col("issue_ts").isNotNull() & F.col("target_ts").isNotNull())
+        .groupBy("issue_ts", "target_ts")
+        .agg(F.bool_and("matched").alias("_complete"))
     )
-    return filled.join(complete, ["issue_ts", "target_ts"]).select(
+    # Rows without an issue or target time stay, unresolved.
+    joined = filled.join(complete, ["issue_ts", "target_ts"], "left").withColumn(
+        "ground_truth_matched", F.coalesce("_complete", F.lit(False))
+    )
+    return joined.select(
         "issue_ts", "target_ts", *KEYS, "pred", "gt_ts", "gt", "matched", "residual", "abs_error",
         "ground_truth_matched",
     )

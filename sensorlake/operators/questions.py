@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -122,42 +121,29 @@ def _lcs(masks: dict[str, int], length: int, text: str) -> int:
     return length - v.bit_count()
 
 
-def _can_reach(short: str, long: str, ratio: float) -> bool:
-    """False only if no piece of ``long`` can be as similar as ``ratio``.
+def partial_ratio(a: str, b: str, at_least: int = 0) -> int:
+    """0..100: the largest share of the shorter text that an equally long window of the longer one
+    has in common with it, in order.
 
-    Every full piece lies in a chunk a quarter longer than it, whose common subsequence with
-    ``short`` bounds the matching characters. Pieces cut off at the end are shorter, so they need
-    fewer; they all lie in the last ``len(short)`` characters.
+    Scores below ``at_least`` may come out as 0. Windows are first bounded in groups: a stretch that
+    covers a group's windows has at least as much in common as any of them.
     """
+    short, long = sorted((a, b), key=len)
     n = len(short)
+    if not n:
+        return 0
     masks: dict[str, int] = {}
     for i, ch in enumerate(short):
         masks[ch] = masks.get(ch, 0) | 1 << i
-    stride = max(1, n // 4)
-    chunks = range(0, max(len(long) - n, 0) + 1, stride)
-    if any(_lcs(masks, n, long[at : at + n + stride]) >= ratio * n for at in chunks):
-        return True
-    return _lcs(masks, n, long[-n:]) >= ratio / (2 - ratio) * n
-
-
-def partial_ratio(a: str, b: str, at_least: int = 0) -> int:
-    """0..100: best similarity of the shorter text with an equally long piece of the longer.
-
-    Scores below ``at_least`` may come out as 0.
-    """
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short or not _can_reach(short, long, (at_least - 0.5) / 100):
-        return 0
-    matcher = SequenceMatcher(None, short, long, autojunk=False)
-    best = 0.0
-    for i, j, _ in matcher.get_matching_blocks():
-        start = max(j - i, 0)
-        piece = long[start : start + len(short)]
-        ratio = SequenceMatcher(None, short, piece, autojunk=False).ratio()
-        if ratio > 0.995:
-            return 100
-        best = max(best, ratio)
-    return int(round(100 * best))
+    windows, group, best = len(long) - n + 1, max(1, n // 4), 0
+    least = (at_least - 0.5) / 100 * n
+    for first in range(0, windows, group):
+        last = min(first + group, windows)
+        bound = _lcs(masks, n, long[first : last - 1 + n])
+        if bound > best and bound >= least:
+            best = max(best, *(_lcs(masks, n, long[i : i + n]) for i in range(first, last)))
+    score = int(round(100 * best / n))
+    return score if score >= at_least else 0
 
 
 def cache_hits(

@@ -34,10 +34,13 @@ def build_session(master: str | None = None, app_name: str = "sensorlake", **con
 def work_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    Only when the cluster names none (tests) is a local temporary folder used.
+    Where ``spark.checkpoint.dir`` is unset, a local temporary folder serves sessions of one machine;
+    on a cluster that is an error, since executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         base = tempfile.mkdtemp(prefix="sensorlake-")
     path = f"{base.rstrip('/')}/sensorlake-{uuid.uuid4().hex}"
     _made.append(path)

@@ -91,13 +91,14 @@ def to_long(log: DataFrame, channels: list[str]) -> DataFrame:
 
 
 def append(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Union by name, then the most recently logged row per key."""
-    both = existing.unionByName(new, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in keys]
-    return (
-        both.groupBy(*keys)
-        .agg(*[F.max_by(c, "logged_at").alias(c) for c in rest])
+    """Union by name, then the last appended row per key: a new row beats an existing one, and of
+    rows that came together the last logged one stays. A row is taken whole."""
+    both = existing.withColumn("_late", F.lit(0)).unionByName(
+        new.withColumn("_late", F.lit(1)), allowMissingColumns=True
     )
+    rest = [c for c in both.columns if c not in keys and c != "_late"]
+    last = F.max_by(F.struct(*rest), F.struct("_late", "logged_at")).alias("_row")
+    return both.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def newest(log: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -108,7 +109,8 @@ def newest(log: DataFrame, keys: list[str], n: int) -> DataFrame:
 def rewrite(log: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
     """Overwrites ``path`` with ``log``, which may itself read from ``path``.
 
-    The new content is staged first, so a failed job leaves the old log in place.
+    The new content is staged first. A failure while it is computed leaves the old log in place; one
+    during the copy does not, but the staged copy then holds the whole log.
     """
     spark = log.sparkSession
     staged = work_dir(spark)

@@ -26,7 +26,12 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
 def parse_time(text: Column) -> Column:
     """Lenient zone-less timestamp; null when the text is none."""
     trimmed = F.trim(text)
-    formats = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
+    # Month before day where both are possible.
+    formats = [
+        "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
+        "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy H:mm",
+        "d-MMM-yyyy", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy",
+    ]
     parsed = [F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(trimmed.try_cast("timestamp_ntz"), *parsed)
 
@@ -108,6 +113,8 @@ def normalise(
 
 
 def read_readings(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Readings of a wide CSV export; the file position stands for the source row order."""
-    raw = scan_csv(spark, path).withColumn("_order", F.monotonically_increasing_id())
+    """Readings of a wide CSV export. Source order is by file name, then by the place in the file;
+    splits of a file begin at its block starts, and ids rise inside a split."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    raw = scan_csv(spark, path).withColumn("_order", place)
     return to_long(normalise(raw, "_order", strict=strict))

@@ -1,5 +1,4 @@
 import random
-from difflib import SequenceMatcher
 
 from conftest import make_frame
 
@@ -49,14 +48,34 @@ def test_question_windows(spark):
     ]
 
 
+def common(a, b):
+    """Longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def masks_of(text):
+    return {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in text}
+
+
 def slow_ratio(a, b):
-    """The definition without any shortcut."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    best = 0.0
-    for i, j, _ in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks():
-        start = max(j - i, 0)
-        best = max(best, SequenceMatcher(None, short, long[start : start + len(short)], autojunk=False).ratio())
-    return 100 if best > 0.995 else int(round(100 * best))
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    if not n:
+        return 0
+    windows = [long[i : i + n] for i in range(len(long) - n + 1)]
+    return int(round(100 * max(questions._lcs(masks_of(short), n, w) for w in windows) / n))
+
+
+def test_common_subsequence_by_bits():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(2))
+        assert questions._lcs(masks_of(a), len(a), b) == common(a, b)
 
 
 WORDS = "is the temperature of node m1 m10 high low now please show trend co2 offline why when".split()
