@@ -438,7 +438,7 @@ APPENDED = f"""{READINGS}, appended AS (SELECT * FROM (
     time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 MINUTE AS target_ts, node, metric, value AS pred,
     ts AS logged_at, CASE WHEN event_id % 2 = 1 THEN 'new' END AS origin,
     row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts), node, metric
-      ORDER BY ts DESC) AS k FROM readings) WHERE k = 1)"""
+      ORDER BY event_id % 2 DESC, ts DESC) AS k FROM readings) WHERE k = 1)"""
 
 
 def appended_log(spark, d):
