@@ -14,7 +14,8 @@ KEYS = ["node", "metric"]
 
 
 def with_bounds(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return readings.join(thresholds, "metric")
+    """Readings of a metric without thresholds stay, with null bounds, and never breach."""
+    return readings.join(thresholds, "metric", "left")
 
 
 def score_breaches(readings: DataFrame, thresholds: DataFrame) -> DataFrame:

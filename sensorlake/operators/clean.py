@@ -17,6 +17,8 @@ from sensorlake.schema import CHANNELS, MIN_ROWS
 from sensorlake.session import materialise
 
 KEYS = ["node", "metric"]
+#: Stands between node and metric in a key; names do not hold it.
+KEY_GAP = "\u0000"
 
 
 class DataQualityError(RuntimeError):
@@ -41,14 +43,27 @@ def latest_per_timestamp(rows: DataFrame, keys: list[str], order: str) -> DataFr
     )
 
 
-def densify(readings: DataFrame, channels: list[tuple[str, str]] = CHANNELS) -> DataFrame:
+def channels_of(readings: DataFrame) -> list[tuple[str, str]]:
+    """The fleet's channels, then all others that ``readings`` has: one entry per sensor."""
+    found = {tuple(row) for row in readings.select(*KEYS).dropna().distinct().collect()}
+    return [*CHANNELS, *sorted(found.difference(CHANNELS))]
+
+
+def densify(readings: DataFrame, channels: list[tuple[str, str]] | None = None) -> DataFrame:
     """The shared frame: every timestamp has a row for every channel, with its frame position.
 
-    ``(ts, node, metric)`` must be unique. One map per timestamp, at most as wide as the fleet.
+    Without ``channels`` these are the fleet's and any others in the data. ``(ts, node, metric)``
+    must be unique; readings without a node or metric belong to no channel. One map per timestamp,
+    at most as wide as the fleet.
     """
-    name = F.concat_ws("_", "node", "metric")
+    if channels is None:
+        channels = channels_of(readings)
+    named = F.col("node").isNotNull() & F.col("metric").isNotNull()
+    name = F.concat_ws(KEY_GAP, "node", "metric")
     per_ts = readings.groupBy("ts").agg(
-        F.map_from_entries(F.collect_list(F.struct(name, F.col("value")))).alias("_values")
+        F.map_from_entries(
+            F.collect_list(F.when(named, F.struct(name, F.col("value"))))
+        ).alias("_values")
     )
     cells = F.array(
         *[F.struct(F.lit(n).alias("node"), F.lit(m).alias("metric")) for n, m in channels]
@@ -62,7 +77,7 @@ def densify(readings: DataFrame, channels: list[tuple[str, str]] = CHANNELS) ->
             F.col("_cell.node").alias("node"),
             F.col("_cell.metric").alias("metric"),
             F.try_element_at(
-                "_values", F.concat_ws("_", F.col("_cell.node"), F.col("_cell.metric"))
+                "_values", F.concat_ws(KEY_GAP, F.col("_cell.node"), F.col("_cell.metric"))
             ).alias("value"),
         )
     )

@@ -195,3 +195,14 @@ def test_resolved_channels(spark):
     before = make_readings(spark, channel_rows([1.0]) + channel_rows([1.0], node="M4"))
     now = make_readings(spark, channel_rows([1.0], node="M4"))
     assert [(r.node, r.metric) for r in alerts.resolved(before, now).collect()] == [("M1", "Temp")]
+
+
+def test_metrics_without_thresholds_stay_and_never_breach(spark):
+    high = BOUNDS["Temp"][2] + 5
+    rows = channel_rows([1e9, None, -1e9], "Noise") + channel_rows([high])
+    state = alerts.breach_state(make_readings(spark, rows), schema.thresholds(spark)).collect()
+    assert sorted((r.metric, r.active, r.is_breach, r.started) for r in state if r.metric == "Noise") == [
+        ("Noise", 0, False, None)
+    ] * 3
+    assert [r.active for r in state if r.metric == "Temp"] == [1]
+    assert alerts.breaches(make_readings(spark, rows), schema.thresholds(spark)).count() == 1

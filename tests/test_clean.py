@@ -6,6 +6,7 @@ import pytest
 from conftest import at, channel, make_frame, make_readings
 
 from sensorlake.operators import clean
+from sensorlake.schema import CHANNELS
 
 T = ("M1", "Temp")
 
@@ -116,6 +117,18 @@ def test_densify_gives_every_channel_a_row_per_time(spark):
     assert channel(out, "value", "M4", "CO2") == [None, 2.0, None]
 
 
+def test_densify_keeps_channels_beyond_the_fleet(spark):
+    rows = [(at(0), "M1", "Temp", 1.0), (at(0), "Roof", "Noise", 4.0), (at(3), "Roof", "Noise", 5.0),
+            (at(0), "Roof_x", "y", 6.0), (at(0), "Roof", "x_y", 7.0), (at(3), None, "Temp", 8.0), (at(3), None, "Temp", 9.0)]
+    out = clean.densify(make_readings(spark, rows))
+    assert channel(out, "value", "Roof", "Noise") == [4.0, 5.0]
+    assert channel(out, "value", "Roof_x", "y") == [6.0, None]
+    assert channel(out, "value", "Roof", "x_y") == [7.0, None]
+    assert channel(out, "value") == [1.0, None]
+    assert out.count() == 2 * (len(CHANNELS) + 3)
+    assert clean.densify(make_readings(spark, [])).count() == 0
+
+
 def test_last_source_row_wins(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, "x")], "k int, o int, v string")
     got = {r.k: r.v for r in clean.latest_per_timestamp(df, ["k"], "o").collect()}
