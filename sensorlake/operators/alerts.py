@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorlake import schema
-from sensorlake.functions.times import DAY_US, SECOND_US, from_micros, micros
-from sensorlake.operators.blocks import BLOCK, block_windows, earlier_blocks, with_time_block
+from sensorlake.functions.times import SECOND_US, from_micros, micros
+from sensorlake.operators.blocks import (
+    BLOCK,
+    BLOCK_ROWS,
+    block_windows,
+    earlier_blocks,
+    with_row_block,
+)
 from sensorlake.operators.cooldown import greedy_accept
 from sensorlake.session import materialise
 
@@ -39,7 +45,7 @@ def breaches(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def breach_state(
-    readings: DataFrame, thresholds: DataFrame, block_us: int = DAY_US
+    readings: DataFrame, thresholds: DataFrame, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Adds ``is_breach``, ``active``, ``onset`` and ``started`` in time order of each channel.
 
@@ -47,7 +53,7 @@ def breach_state(
     it off; a value within the margin keeps the state. ``started`` is the onset time of the episode
     an active row belongs to.
 
-    Windows see one time block of a channel. A block knows its own switches; from outside it needs
+    Windows see one block of a channel. A block knows its own switches; from outside it needs
     only the state and the last onset before it, both of which follow from a per-block summary.
     """
     scored = score_breaches(readings, thresholds)
@@ -59,7 +65,9 @@ def breach_state(
         .when(value.isNull(), 0)
         .when(inside_hi & inside_lo, 0)
     )
-    df = with_time_block(scored.withColumn("_flag", flag), "ts", block_us)
+    df = with_row_block(
+        scored.withColumn("_flag", flag).withColumn("_at", micros("ts")), KEYS, "_at", block_rows
+    )
     upto, _, base = block_windows(KEYS, "ts")
     before = base.rowsBetween(Window.unboundedPreceding, -1)
     known_ts = F.when(F.col("_flag").isNotNull(), F.col("ts"))

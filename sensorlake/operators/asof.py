@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorlake.functions.times import HOUR_US, block_of, micros
-from sensorlake.operators.blocks import BLOCK, block_windows, carry
+from sensorlake.functions.times import micros
+from sensorlake.operators.blocks import BLOCK_ROWS, block_windows, carry, with_row_block
 
 
-def _merged(left: DataFrame, right: DataFrame, keys: list[str], ts: str, width_us: int):
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], ts: str, block_rows: int):
     """Both sides in one ordered set, the right side's times in ``_seen``.
 
     At equal times a right row sorts first, so it counts as at-or-before the left row.
@@ -16,9 +16,10 @@ def _merged(left: DataFrame, right: DataFrame, keys: list[str], ts: str, width_u
     at = micros(ts)
     left_rows = left.select(*keys, at.alias("_at"), F.lit(None).cast("bigint").alias("_seen"))
     right_rows = right.select(*keys, at.alias("_at"), at.alias("_seen"))
-    return left_rows.distinct().unionByName(right_rows.distinct()).withColumn(
-        BLOCK, block_of(F.col("_at"), width_us)
-    ).withColumn("_order", F.col("_at") * 2 + F.col("_seen").isNull().cast("int"))
+    both = left_rows.distinct().unionByName(right_rows.distinct())
+    return with_row_block(both, keys, "_at", block_rows).withColumn(
+        "_order", F.col("_at") * 2 + F.col("_seen").isNull().cast("int")
+    )
 
 
 def match_times(
@@ -28,7 +29,7 @@ def match_times(
     ts: str = "ts",
     direction: str = "backward",
     tolerance_us: int | None = None,
-    width_us: int = HOUR_US,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Maps every distinct ``(keys, ts)`` of ``left`` to a time of ``right``.
 
@@ -37,7 +38,7 @@ def match_times(
     Linear in the rows of both sides; a block only needs one carried time from each side.
     """
     keys = keys or []
-    merged = _merged(left, right, keys, ts, width_us)
+    merged = _merged(left, right, keys, ts, block_rows)
     both = direction != "backward"
     merged = carry(
         merged, keys, "_order",

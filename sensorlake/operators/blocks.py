@@ -10,7 +10,8 @@ windows run over ``(channel, block)``:
   (:func:`carry`), found from a per-block aggregate. That aggregate has
   one row per block, so the window over it is small however many rows the channel has.
 
-Both are exact.
+Both are exact. Blocks are cut by counted rows, never by the clock (:func:`with_row_block`), so they
+stay small however unevenly the rows lie in time.
 """
 
 from __future__ import annotations
@@ -19,29 +20,71 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sensorlake.functions.times import DAY_US, HOUR_US, block_of, micros
+from sensorlake.functions.times import HOUR_US, block_of, micros
 
 BLOCK = "_block"
 BLOCK_ROWS = 50_000
+#: Rows are counted per slot of this length; the rows of one slot stay together.
+SLOT_US = 1_000
+#: More than the slots of an hour, so that hour and piece make one number.
+_PIECES = 1 << 22
 
 
-def with_time_block(df: DataFrame, ts: str = "ts", width_us: int = DAY_US) -> DataFrame:
-    return df.withColumn(BLOCK, block_of(micros(ts), width_us))
-
+def with_row_block(
+    df: DataFrame, keys: list[str], at: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Adds ``BLOCK``, which rises with ``at`` (microseconds) within ``keys``.
 
-def _width(keys: list[str]) -> int:
-    """A day of one channel, or an hour of the whole fleet."""
-    return DAY_US if keys else HOUR_US
+    A block has at most about ``block_rows`` rows, or the rows of one slot if those are more. Rows
+    of equal ``at`` share a block. Slots are counted map-side; the cuts inside an hour come from the
+    slots of that hour, and hours with few rows share a block. So no window here sees more than the
+    slots of an hour or the hours of a key, whatever the number of rows. A row finds its block by a
+    binary search among the cuts of its hour.
+    """
+    # The last pieces of an hour, and the hours before it, may add up: each gets half.
+    step = max(block_rows // 2, 1)
+    in_hour = Window.partitionBy(*keys, "_hour").orderBy("_slot")
+    hours = (
+        df.groupBy(*keys, block_of(F.col(at), SLOT_US).alias("_slot"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_hour", F.floor(F.col("_slot") / (HOUR_US // SLOT_US)))
+        .withColumn("_piece", F.floor((F.sum("_n").over(in_hour) - F.col("_n")) / step))
+        .groupBy(*keys, "_hour", "_piece")
+        .agg(F.min("_slot").alias("_from"), F.sum("_n").alias("_n"))
+        .groupBy(*keys, "_hour")
+        .agg(F.sort_array(F.collect_list("_from")).alias("_cuts"), F.sum("_n").alias("_n"))
+    )
+    in_key = Window.partitionBy(*keys).orderBy("_hour")
+    shared = hours.withColumn(
+        "_group", F.floor((F.sum("_n").over(in_key) - F.col("_n")) / step)
+    ).select(
+        *keys, "_hour", "_cuts", F.min("_hour").over(Window.partitionBy(*keys, "_group")).alias("_opens")
+    )
+    slot = block_of(F.col(at), SLOT_US)
+    halves = F.array(*[F.lit(_PIECES >> i) for i in range(1, 23)])
+    piece = F.when(F.size("_cuts") == 1, 0).otherwise(
+        F.aggregate(
+            halves,
+            F.lit(0),
+            lambda i, half: F.when(F.get("_cuts", i + half) <= slot, i + half).otherwise(i),
+        )
+    )
+    return (
+        df.withColumn("_hour", block_of(F.col(at), HOUR_US))
+        .join(shared, [*keys, "_hour"], "left")
+        .withColumn(BLOCK, F.col("_opens") * _PIECES + piece)
+        .drop("_hour", "_cuts", "_opens")
+    )
 
 
 def with_position(
-    df: DataFrame, keys: list[str], ts: str = "ts", pos: str = "pos", width_us: int | None = None
+    df: DataFrame, keys: list[str], ts: str = "ts", pos: str = "pos", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """0-based position in ``ts`` order within ``keys``; ``(keys, ts)`` must be unique.
 
-    Row numbers inside a time block plus the row count of all earlier blocks.
+    Row numbers inside a block plus the row count of all earlier blocks.
     """
-    blocked = with_time_block(df, ts, width_us or _width(keys))
+    blocked = with_row_block(df.withColumn("_at", micros(ts)), keys, "_at", block_rows).drop("_at")
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*keys, BLOCK)
@@ -142,13 +185,13 @@ def with_previous(
     keys: list[str],
     columns: dict[str, str],
     ts: str = "ts",
-    width_us: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Adds, per ``{name: column}``, that column's value in the preceding row of the key.
 
     The first row of a block takes the last row of the block before, null or not.
     """
-    blocked = with_time_block(df, ts, width_us or _width(keys))
+    blocked = with_row_block(df.withColumn("_at", micros(ts)), keys, "_at", block_rows)
     ends = blocked.groupBy(*keys, BLOCK).agg(
         *[F.max_by(c, ts).alias(f"_end_{n}") for n, c in columns.items()]
     )

@@ -8,7 +8,7 @@ from conftest import at, make_readings
 from sensorlake.functions.times import MINUTE_US
 from sensorlake.operators import evaluate
 from sensorlake.operators.asof import match_times
-from sensorlake.operators.blocks import rows_frame, with_position, with_previous
+from sensorlake.operators.blocks import BLOCK, rows_frame, with_position, with_previous, with_row_block
 from sensorlake.operators.quantile import exact_quantile
 from pyspark.sql import functions as F
 
@@ -33,15 +33,15 @@ def test_nearest_ties_go_to_the_later_time_and_tolerance_is_inclusive(spark):
     assert matched(out) == {-2: 0, 0: 0, 22: 20, 38: 40, 42: 40}
 
 
-@pytest.mark.parametrize("width_minutes", [7, 60, 100_000])
-def test_nearest_equals_pandas(spark, width_minutes):
+@pytest.mark.parametrize("block_rows", [1, 7, 60, 100_000])
+def test_nearest_equals_pandas(spark, block_rows):
     rng = random.Random(7)
     frame = sorted(rng.sample(range(0, 3000), 90))
     targets = sorted(rng.sample(range(-50, 3100), 200))
     index = pd.Index(frame)
     want = {t: frame[i] for t, i in zip(targets, index.get_indexer(targets, method="nearest"))}
     out = match_times(
-        times(spark, targets), times(spark, frame), direction="nearest", width_us=width_minutes * MINUTE_US
+        times(spark, targets), times(spark, frame), direction="nearest", block_rows=block_rows
     )
     assert matched(out) == want
 
@@ -93,16 +93,33 @@ def test_quantile_is_exact_for_any_bin_width(spark, q, width):
     assert {r.k: r.quantile for r in got.collect()} == pytest.approx(frame.to_dict())
 
 
-@pytest.mark.parametrize("width_us", [MINUTE_US, 50 * MINUTE_US])
-def test_positions_and_previous_rows_cross_blocks(spark, width_us):
+def test_blocks_stay_small_when_one_hour_of_one_channel_holds_most_rows(spark):
+    """27,000 of 30,000 rows lie in one hour of channel ``a``; 100 more share one instant."""
+    hot = spark.range(27_000).selectExpr("'a' AS k", "36e8 * 5 + id * 100003 AS at")
+    rest = spark.range(2_900).selectExpr("IF(id % 3 = 0, 'a', 'b') AS k", "36e8 * (id DIV 3 % 200) + id AS at")
+    instant = spark.range(100).selectExpr("'b' AS k", "36e8 * 300 AS at")
+    rows = hot.union(rest).union(instant).selectExpr("k", "CAST(at AS BIGINT) AS at")
+    blocked = with_row_block(rows, ["k"], "at", 500)
+    assert blocked.count() == 30_000 and blocked.filter(f"{BLOCK} IS NULL").count() == 0
+    blocks = blocked.groupBy("k", BLOCK).agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("begin"), F.max("at").alias("end")
+    ).orderBy("k", BLOCK).collect()
+    assert max(b.n for b in blocks) <= 500
+    assert len(blocks) < 200
+    for x, y in zip(blocks, blocks[1:]):
+        assert x.k != y.k or x.end < y.begin
+
+
+@pytest.mark.parametrize("block_rows", [1, 5, 50_000])
+def test_positions_and_previous_rows_cross_blocks(spark, block_rows):
     rng = random.Random(5)
     rows = []
     for key, n in (("a", 200), ("b", 3)):
         rows += [(at(m), key, None if i % 4 == 0 else float(i)) for i, m in enumerate(sorted(rng.sample(range(900), n)))]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, k string, v double")
-    got = with_position(df, ["k"], width_us=width_us).orderBy("k", "ts").collect()
+    got = with_position(df, ["k"], block_rows=block_rows).orderBy("k", "ts").collect()
     assert [r.pos for r in got] == [*range(200), *range(3)]
-    got = with_previous(df, ["k"], {"p": "v"}, width_us=width_us).orderBy("k", "ts").collect()
+    got = with_previous(df, ["k"], {"p": "v"}, block_rows=block_rows).orderBy("k", "ts").collect()
     for before, row in zip(got, got[1:]):
         if before.k == row.k:
             assert row.p == before.v
