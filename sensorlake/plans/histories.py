@@ -386,20 +386,50 @@ def _(spark, d):
     return grid.withColumn("z", rounded("z", 4))
 
 
+def frame_surfaces_sql(nx: int, ny: int) -> str:
+    """Every cell of every frame: node values and a cell's weights as columns, ``z`` from both."""
+    nodes = list(enumerate(GRID_POSITIONS))
+    values = ", ".join(f"max(value) FILTER (node = '{n}') AS v{i}" for i, (n, _, _) in nodes)
+    weights = ", ".join(
+        f"1 / greatest((x - {px}::DOUBLE) * (x - {px}::DOUBLE)"
+        f" + (y - {py}::DOUBLE) * (y - {py}::DOUBLE), 1e-10) AS w{i}"
+        for i, (_, px, py) in nodes
+    )
+    top = " + ".join(f"coalesce(w{i} * v{i}, 0)" for i, _ in nodes)
+    bottom = " + ".join(f"CASE WHEN v{i} IS NULL THEN 0 ELSE w{i} END" for i, _ in nodes)
+    known = ", ".join(f"v{i}" for i, _ in nodes)
+    return f"""{cells_sql(nx, ny)},
+    wide AS (SELECT day, ts_us, metric, {values} FROM filled GROUP BY ALL),
+    shares AS (SELECT row, col, {weights} FROM cells),
+    surfaces AS (SELECT day, ts_us, metric, row, col, ({top}) / ({bottom}) AS z
+      FROM wide CROSS JOIN shares WHERE coalesce({known}) IS NOT NULL)"""
+
+
 @query(
     "c07_frame_grid",
     f"""WITH {DAY_FRAMES}, {DAY_NEAR}, filled AS (
       SELECT day, ts_us, node, metric, coalesce(value, CASE WHEN pos - p0 <= 6
         THEN coalesce(v0 + (v1 - v0) / (p1 - p0) * (pos - p0), v0) END) AS value FROM near),
-    {POSITIONS}, {cells_sql(9, 8)}, weighted AS (
-      SELECT f.day, f.ts_us, f.metric, c.row, c.col, f.value,
-        1 / greatest((x - px) * (x - px) + (y - py) * (y - py), 1e-10) AS w
-      FROM filled f JOIN positions p USING (node) CROSS JOIN cells c WHERE f.value IS NOT NULL)
-    SELECT day::VARCHAR AS day, ts_us, metric, row, col, round(sum(w * value) / sum(w), 4) AS z
-    FROM weighted GROUP BY ALL""",
+    {frame_surfaces_sql(200, 200)}
+    SELECT day::VARCHAR AS day, ts_us, metric, count(*) AS n_cells, round(avg(z), 4) AS z_mean,
+      round(avg(z * row), 4) AS z_by_row, round(avg(z * col), 4) AS z_by_col,
+      round(min(z), 4) AS z_min, round(max(z), 4) AS z_max
+    FROM surfaces GROUP BY ALL""",
 )
 def _(spark, d):
+    """All cells of all frames, summed up per frame: two moments tell where on the grid values lie."""
     frames = series.filled_day_frames(series.day_frames(readings(spark, d)))
     known = frames.select("day", "ts", *KEYS, F.col("filled").alias("value"))
-    grid = spatial.frame_grid(known, GRID_POSITIONS, ["day", "ts", "metric"], 9, 8)
-    return grid.drop("x", "y").withColumn("z", rounded("z", 4))
+    by = ["day", "ts", "metric"]
+    return (
+        spatial.frame_grid(known, GRID_POSITIONS, by)
+        .groupBy(*by)
+        .agg(
+            F.count(F.lit(1)).alias("n_cells"),
+            rounded(F.avg("z"), 4).alias("z_mean"),
+            rounded(F.avg(F.col("z") * F.col("row")), 4).alias("z_by_row"),
+            rounded(F.avg(F.col("z") * F.col("col")), 4).alias("z_by_col"),
+            rounded(F.min("z"), 4).alias("z_min"),
+            rounded(F.max("z"), 4).alias("z_max"),
+        )
+    )

@@ -111,8 +111,10 @@ def _(spark, d):
     FROM readings""",
 )
 def _(spark, d):
-    _, done = drained(spark, ingest.observed(live_readings(spark, d)))
-    beats = ingest.heartbeats(spark, done)
-    return beats.groupBy("status").agg(
+    table = work_dir(spark)
+    ingest.log_heartbeats(
+        live_readings(spark, d), table, work_dir(spark), available_now=True
+    ).awaitTermination()
+    return ingest.heartbeats(spark, table).groupBy("status").agg(
         F.sum("n_rows").alias("n_rows"), F.max("last_us").alias("last_us")
     )

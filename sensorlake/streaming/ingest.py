@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,13 +43,15 @@ def ingest_telemetry(
     checkpoint: str,
     available_now: bool = False,
     interval: str = FLUSH_INTERVAL,
+    heartbeat_table: str | None = None,
 ) -> StreamingQuery:
     """Parses device messages and upserts them by ``(ts, node_id)`` into a day-partitioned table.
 
     A batch that is replayed after a failure merges to the same table.
+    With ``heartbeat_table`` every batch leaves its heartbeat after the upsert.
     """
 
-    def flush(batch: DataFrame, _batch_id: int) -> None:
+    def flush(batch: DataFrame, batch_id: int) -> None:
         records = parse_messages(batch, devices)
         # Equal keys in one batch differ only in content; order by it, so retries agree.
         content = F.concat_ws("|", "temp", "humidity", "co2", "tvoc")
@@ -61,31 +62,42 @@ def ingest_telemetry(
             ["ts", "node_id"],
             "_order",
         )
+        if heartbeat_table:
+            write_heartbeat(records, batch_id, heartbeat_table)
 
     writer = messages.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return _start(writer, available_now, interval)
 
 
-def observed(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """The rows, with per-batch count and newest time in the query progress."""
-    return rows.observe(
-        "heartbeat",
+def write_heartbeat(batch: DataFrame, batch_id: int, table: str, ts: str = "ts") -> None:
+    """Appends one row for the micro-batch to the table ``batch_id, n_rows, last_us, status``.
+
+    A batch's row has a folder of its own, so a replayed batch replaces its row. Batches without
+    rows leave none.
+    """
+    batch.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("last_us"),
-    )
-
-
-def heartbeats(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per micro-batch with data; the progress log bounds how many there are."""
-    rows = []
-    for progress in query.recentProgress:
-        p = progress if isinstance(progress, dict) else json.loads(progress.json)
-        seen = (p.get("observedMetrics") or {}).get("heartbeat")
-        if seen is None:
-            continue
-        seen = seen.asDict() if hasattr(seen, "asDict") else dict(seen)
-        if seen.get("n_rows"):
-            rows.append((int(p["batchId"]), int(seen["n_rows"]), int(seen["last_us"]), "ok"))
-    return spark.createDataFrame(
-        rows, "batch_id bigint, n_rows bigint, last_us bigint, status string"
-    )
+        F.lit("ok").alias("status"),
+    ).filter("n_rows > 0").coalesce(1).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+
+def log_heartbeats(
+    rows: DataFrame,
+    table: str,
+    checkpoint: str,
+    ts: str = "ts",
+    available_now: bool = False,
+    interval: str = FLUSH_INTERVAL,
+) -> StreamingQuery:
+    """Stream that records every micro-batch of ``rows`` in the heartbeat table."""
+    writer = rows.writeStream.foreachBatch(
+        lambda batch, batch_id: write_heartbeat(batch, batch_id, table, ts)
+    ).option("checkpointLocation", checkpoint)
+    return _start(writer, available_now, interval)
+
+
+def heartbeats(spark: SparkSession, table: str) -> DataFrame:
+    """One row per micro-batch that had data, however many there were."""
+    schema = "n_rows bigint, last_us bigint, status string, batch_id bigint"
+    return spark.read.schema(schema).parquet(table).select("batch_id", "n_rows", "last_us", "status")

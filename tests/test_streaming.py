@@ -72,11 +72,23 @@ def test_hourly_snapshots_equal_batch_for_closed_hours(spark, landed, tmp_path):
 
 def test_heartbeats(spark, landed, tmp_path):
     stream = landed([[(at(0), "M1", "Temp", 1.0)], [(at(3), "M1", "Temp", 1.0), (at(6), "M1", "Temp", 1.0)]])
-    _, query = drain(spark, ingest.observed(stream), tmp_path)
-    beats = ingest.heartbeats(spark, query).orderBy("batch_id").collect()
+    table = str(tmp_path / "beats")
+    ingest.log_heartbeats(stream, table, str(tmp_path / "beats-cp"), available_now=True).awaitTermination()
+    beats = ingest.heartbeats(spark, table).orderBy("batch_id").collect()
     assert [r.n_rows for r in beats] == [1, 2] and all(r.status == "ok" for r in beats)
 
 
+def test_heartbeats_of_more_batches_than_the_progress_log_holds(spark, tmp_path):
+    table = str(tmp_path / "beats")
+    rows = make_readings(spark, [(at(0), "M1", "Temp", 1.0), (at(3), "M1", "Temp", 2.0)])
+    for batch_id in [*range(105), 104]:  # the last one is replayed
+        ingest.write_heartbeat(rows, batch_id, table)
+    ingest.write_heartbeat(rows.limit(0), 105, table)
+    beats = ingest.heartbeats(spark, table).orderBy("batch_id").collect()
+    assert [r.batch_id for r in beats] == list(range(105))
+    assert sum(r.n_rows for r in beats) == 210
+
+
 def test_telemetry_ingest_upserts(spark, tmp_path):
     def message(minute, device, t1):
         return (f"esp/{device}", f'{{"t1": {t1}, "co2": 400}}', at(minute))
@@ -91,7 +103,10 @@ def test_telemetry_ingest_upserts(spark, tmp_path):
     )
     table = str(tmp_path / "table")
     ingest.ingest_telemetry(
-        stream, schema.devices(spark), table, str(tmp_path / "cp"), available_now=True
+        stream, schema.devices(spark), table, str(tmp_path / "cp"), available_now=True,
+        heartbeat_table=str(tmp_path / "beats"),
     ).awaitTermination()
+    beats = ingest.heartbeats(spark, str(tmp_path / "beats"))
+    assert sorted(r.n_rows for r in beats.collect()) == [1, 2]
     got = spark.read.parquet(table).orderBy("ts").collect()
     assert [(r.ts, r.node_id, r.temp, r.co2) for r in got] == [(at(0), "M1", 22.0, 400), (at(3), "M1", 21.0, 400)]
