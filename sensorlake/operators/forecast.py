@@ -90,36 +90,54 @@ def training_rows(frame: DataFrame, rows: int = schema.TRAIN_ROWS, lags: int = L
 
 
 def fit(windows: DataFrame, keys: list[str] = KEYS, lags: int = LAGS, weight=None) -> DataFrame:
-    """Coefficients ``(intercept, b1 .. bL)`` per key from distributed normal equations."""
-    w = F.lit(1.0) if weight is None else weight
-    terms = [F.lit(1.0)] + [F.col("x")[i] for i in range(lags)] + [F.col("y")]
+    """Coefficients ``(intercept, b1 .. bL)`` per key from distributed normal equations.
+
+    Tasks add up one small matrix per key, Spark sums these entry by entry, and only the sums of a
+    key meet for the solve.
+    """
     size = lags + 1
-    sums = [
-        F.sum(w * terms[i] * terms[j]).alias(f"s_{i}_{j}")
-        for i in range(size)
-        for j in range(i, size + 1)
-    ]
-    totals = windows.groupBy(*keys).agg(F.sum(w).alias("n"), *sums)
-    packed = totals.select(*keys, F.array(*[c for c in totals.columns if c.startswith("s_")]).alias("s"))
-    out = StructType(
-        [*[packed.schema[k] for k in keys], StructField("beta", ArrayType(DoubleType()))]
+    rows = windows.select(*keys, "x", "y", (F.lit(1.0) if weight is None else weight).cast("double").alias("_w"))
+    key_fields = [rows.schema[k] for k in keys]
+    matrix = StructType([*key_fields, StructField("s", ArrayType(DoubleType()))])
+
+    def packed(sums):
+        ids, arrays = list(sums), [m.ravel().tolist() for m in sums.values()]
+        return pd.DataFrame({**{k: [i[n] for i in ids] for n, k in enumerate(keys)}, "s": arrays})
+
+    def add_up(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                w = part["_w"].to_numpy()
+                terms = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy()), part["y"].to_numpy()])
+                gram = (terms[:, :size] * w[:, None]).T @ terms
+                sums[key] = sums[key] + gram if key in sums else gram
+            if len(sums) > 5_000:
+                yield packed(sums)
+                sums = {}
+        if sums:
+            yield packed(sums)
+
+    totals = (
+        rows.mapInPandas(add_up, matrix)
+        .select(*keys, F.posexplode("s").alias("at", "part"))
+        .groupBy(*keys, "at")
+        .agg(F.sum("part").alias("part"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("s"))
+        .select(*keys, F.col("s.part").alias("s"))
     )
+    out = StructType([*key_fields, StructField("beta", ArrayType(DoubleType()))])
 
     def solve(batches):
-        upper = [(i, j) for i in range(size) for j in range(i, size + 1)]
         for pdf in batches:
             betas = []
-            for sums_row in pdf["s"]:
-                gram, right = np.zeros((size, size)), np.zeros(size)
-                for (i, j), value in zip(upper, sums_row):
-                    if j == size:
-                        right[i] = value
-                    else:
-                        gram[i, j] = gram[j, i] = value
-                betas.append(np.linalg.lstsq(gram, right, rcond=1e-10)[0].tolist())
+            for entries in pdf["s"]:
+                both = np.asarray(entries).reshape(size, size + 1)
+                betas.append(np.linalg.lstsq(both[:, :size], both[:, size], rcond=1e-10)[0].tolist())
             yield pdf[keys].assign(beta=pd.Series(betas, index=pdf.index))
 
-    return packed.mapInPandas(solve, out)
+    return totals.mapInPandas(solve, out)
 
 
 def _predicted_z():
