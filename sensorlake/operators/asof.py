@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sensorlake.functions.times import micros
 from sensorlake.operators.blocks import BLOCK_ROWS, block_windows, carry, with_row_block
+from sensorlake.session import materialise
 
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], ts: str, block_rows: int):
@@ -16,7 +17,8 @@ def _merged(left: DataFrame, right: DataFrame, keys: list[str], ts: str, block_r
     at = micros(ts)
     left_rows = left.select(*keys, at.alias("_at"), F.lit(None).cast("bigint").alias("_seen"))
     right_rows = right.select(*keys, at.alias("_at"), at.alias("_seen"))
-    both = left_rows.distinct().unionByName(right_rows.distinct())
+    # Read three times below: for the counts, the carried times and the pass itself.
+    both = materialise(left_rows.distinct().unionByName(right_rows.distinct()))
     return with_row_block(both, keys, "_at", block_rows).withColumn(
         "_order", F.col("_at") * 2 + F.col("_seen").isNull().cast("int")
     )
