@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorlake.llm import (
     content_sort,
+    conversations,
     decontaminate,
     fair_mix,
     ftrl,
     hyperminhash,
     kneser_ney,
     license_scan,
+    quality_rules,
     transducer,
     url_lists,
+    whitening,
     wrappers,
 )
+from sensorlake.llm.repair_sql import REPAIR_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +204,18 @@ FROM documents WINDOW w AS (PARTITION BY COALESCE(text, ''))
 )
 def op10_content_sort(spark, sf_dir):
     return content_sort.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op11_qdwh_whitening")
+def op11_qdwh_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_decision_list")
+def op12_decision_list(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_lightest_repair", REPAIR_SQL)
+def op13_lightest_repair(spark, sf_dir):
+    return conversations.repair_digests(conversations.damage(table(spark, sf_dir, "conversations")))
