@@ -47,12 +47,12 @@ def match_times(
         last={"_before_in": "_seen"},
         first={"_after_in": "_seen"} if both else None,
     )
-    upto, onward, _ = block_windows(keys, "_order")
+    upto, back_to, _ = block_windows(keys, "_order")
     before = F.coalesce(F.last("_seen", True).over(upto), F.col("_before_in"))
     if not both:
         matched = merged.withColumn("match_us", before)
     else:
-        after = F.coalesce(F.first("_seen", True).over(onward), F.col("_after_in"))
+        after = F.coalesce(F.last("_seen", True).over(back_to), F.col("_after_in"))
         near = merged.withColumn("_b", before).withColumn("_a", after)
         back, ahead = F.col("_at") - F.col("_b"), F.col("_a") - F.col("_at")
         # An exact hit is "before"; otherwise the later reading wins a tie.

@@ -136,7 +136,14 @@ def earlier_blocks(keys: list[str]):
 
 
 def later_blocks(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    """All blocks after the row's, last one first: the nearest one is the ``last`` of this window.
+
+    A frame that reaches to the end would be summed up anew for every row; over the falling order
+    the same rows are a running frame.
+    """
+    return (
+        Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    )
 
 
 def carry(
@@ -165,17 +172,22 @@ def carry(
         *keys,
         BLOCK,
         *[F.last(name, True).over(before).alias(name) for name in last],
-        *[F.first(name, True).over(after).alias(name) for name in first],
+        *[F.last(name, True).over(after).alias(name) for name in first],
     )
     return df.join(carried, [*keys, BLOCK], "left")
 
 
 def block_windows(keys: list[str], order: str):
-    """Windows of a block up to the row, and from the row on."""
+    """Windows of a block: up to the row, back from the block's end to the row, and the plain order.
+
+    The second one falls, so the first value at or after a row is its ``last``; both are running
+    frames, linear in the block's rows.
+    """
     base = Window.partitionBy(*keys, BLOCK).orderBy(order)
+    back = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order))
     return (
         base.rowsBetween(Window.unboundedPreceding, 0),
-        base.rowsBetween(0, Window.unboundedFollowing),
+        back.rowsBetween(Window.unboundedPreceding, 0),
         base,
     )
 

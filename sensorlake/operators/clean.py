@@ -136,8 +136,9 @@ def _neighbours(frame, keys, value, pos, block_rows):
     (``_v1``, ``_p1``), each row. Without ``block_rows`` a key is one ordered group."""
     df = frame.withColumn("_known", F.when(F.col(value).isNotNull(), F.col(pos)))
     if block_rows is None:
-        upto = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-        onward = Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, Window.unboundedFollowing)
+        key, running = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)
+        upto = key.orderBy(pos).rowsBetween(*running)
+        back = key.orderBy(F.desc(pos)).rowsBetween(*running)
     else:
         block = F.floor(F.col(pos) / block_rows).cast("bigint")
         df = carry(
@@ -145,17 +146,17 @@ def _neighbours(frame, keys, value, pos, block_rows):
             last={"_v0_in": value, "_p0_in": "_known"},
             first={"_v1_in": value, "_p1_in": "_known"},
         )
-        upto, onward, _ = block_windows(keys, pos)
+        upto, back, _ = block_windows(keys, pos)
 
-    def nearest(column, pick, window, outside):
-        inside = pick(column, True).over(window)
+    def nearest(column, window, outside):
+        inside = F.last(column, True).over(window)
         return inside if block_rows is None else F.coalesce(inside, F.col(outside))
 
     return (
-        df.withColumn("_v0", nearest(value, F.last, upto, "_v0_in"))
-        .withColumn("_p0", nearest("_known", F.last, upto, "_p0_in"))
-        .withColumn("_v1", nearest(value, F.first, onward, "_v1_in"))
-        .withColumn("_p1", nearest("_known", F.first, onward, "_p1_in"))
+        df.withColumn("_v0", nearest(value, upto, "_v0_in"))
+        .withColumn("_p0", nearest("_known", upto, "_p0_in"))
+        .withColumn("_v1", nearest(value, back, "_v1_in"))
+        .withColumn("_p1", nearest("_known", back, "_p1_in"))
         .select(*frame.columns, "_v0", "_p0", "_v1", "_p1")
     )
 

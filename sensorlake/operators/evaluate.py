@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorlake.functions.times import MINUTE_US, from_micros
 from sensorlake.operators.asof import match_times
@@ -42,15 +42,11 @@ def reconcile(log: DataFrame, readings: DataFrame, tolerance: int) -> DataFrame:
         .withColumn("abs_error", F.abs("residual"))
         .withColumn("matched", F.col("residual").isNotNull())
     )
-    complete = (
-        filled.filter(F.col("issue_ts").isNotNull() & F.col("target_ts").isNotNull())
-        .groupBy("issue_ts", "target_ts")
-        .agg(F.bool_and("matched").alias("_complete"))
-    )
-    # Rows without an issue or target time stay, unresolved.
-    joined = filled.join(complete, ["issue_ts", "target_ts"], "left").withColumn(
-        "ground_truth_matched", F.coalesce("_complete", F.lit(False))
-    )
+    # One shuffle by the pair, whose rows are as many as the fleet has channels. Rows without an issue
+    # or target time stay unresolved; they are spread by channel, not gathered under the null pair.
+    whole = F.col("issue_ts").isNotNull() & F.col("target_ts").isNotNull()
+    pair = Window.partitionBy("issue_ts", "target_ts", *[F.when(~whole, F.col(k)) for k in KEYS])
+    joined = filled.withColumn("ground_truth_matched", whole & F.bool_and("matched").over(pair))
     return joined.select(
         "issue_ts", "target_ts", *KEYS, "pred", "gt_ts", "gt", "matched", "residual", "abs_error",
         "ground_truth_matched",
