@@ -24,6 +24,7 @@ from sensorlake.plans.base import (
 )
 from sensorlake.session import work_dir
 from sensorlake.sources import prediction_log, tables, telemetry, weather
+from sensorlake.sources.ledger import Ledger
 from sensorlake.sources import readings as exports
 
 KEYS = ["node", "metric"]
@@ -271,17 +272,21 @@ def _(spark, d):
     SELECT epoch_us(hour) AS ts_us, node_id, event_id, round(temp, 6) AS temp,
       round(humidity, 6) AS humidity, co2, tvoc FROM (
       SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS hour, row_number() OVER (PARTITION BY
-        time_bucket(INTERVAL 1 HOUR, ts), node_id ORDER BY event_id % 3 = 1 DESC, event_id DESC) AS k
+        time_bucket(INTERVAL 1 HOUR, ts), node_id ORDER BY CASE event_id % 3 WHEN 1 THEN 2
+        WHEN 2 THEN 1 ELSE 0 END DESC, event_id DESC) AS k
       FROM records) WHERE k = 1""",
 )
 def _(spark, d):
     records = telemetry.parse_messages(
         messages(table(spark, d, "events")), schema.devices(spark), ["event_id"]
     ).withColumn("ts", floor_to("ts", "1 hour"))
-    keys = ["ts", "node_id"]
-    old = latest_per_timestamp(records.filter("event_id % 3 <> 1"), keys, "event_id")
-    merged = tables.merge_rows(old, records.filter("event_id % 3 = 1"), keys, "event_id")
-    return merged.select("ts", "node_id", "event_id", "temp", "humidity", "co2", "tvoc")
+    table_ = Ledger(spark, work_dir(spark), ["ts", "node_id"], ["event_id"])
+    # Three batches, the second one sent twice.
+    for batch, part in ((0, 0), (1, 2), (1, 2)):
+        table_.upsert(records.filter(F.col("event_id") % 3 == part), "events", batch)
+    table_.compact(fan_in=2)
+    table_.upsert(records.filter("event_id % 3 = 1"), "events", 2)
+    return table_.read().select("ts", "node_id", "event_id", "temp", "humidity", "co2", "tvoc")
 
 
 # --- weather -----------------------------------------------------------------------
@@ -488,7 +493,11 @@ def _(spark, d):
 
 @query("a19_log_rewrite", f"WITH {APPENDED} SELECT {APPENDED_COLUMNS} FROM appended")
 def _(spark, d):
-    return prediction_log.rewrite(appended_log(spark, d), work_dir(spark), "csv")
+    # The log as it stands, then its new content read from itself: one commit swaps them.
+    log = Ledger(spark, work_dir(spark), ["issue_ts", "target_ts", *KEYS], ts="issue_ts")
+    log.replace(appended_log(spark, d))
+    log.replace(log.read())
+    return prediction_log.rewrite(log.read(), work_dir(spark), "csv")
 
 
 # --- append tables -----------------------------------------------------------------

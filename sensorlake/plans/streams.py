@@ -61,7 +61,7 @@ def _(spark, d):
         messages(events(spark, d)), schema.devices(spark), path, work_dir(spark), available_now=True
     )
     stream.awaitTermination()
-    return spark.read.parquet(path).drop("_order", "day")
+    return ingest.telemetry_table(spark, path).read()
 
 
 @query(

@@ -1,4 +1,6 @@
-"""Append tables with date partitions, retention, keyed merges, dimension files."""
+"""Append tables with date partitions, retention, keyed merges, dimension files.
+
+Tables that are merged by key over time are ``ledger.Ledger``."""
 
 from __future__ import annotations
 
@@ -43,7 +45,10 @@ def anonymise(log: DataFrame, column: str = "username") -> DataFrame:
 
 
 def append_rows(rows: DataFrame, path: str, ts: str = "ts") -> None:
-    rows.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
+    """Appends by day. Rows are dealt to days by size, so that an append makes few files, not one for
+    every task and day, and a large day is more than one task's work."""
+    dated = rows.withColumn("day", F.to_date(ts)).hint("rebalance", "day")
+    dated.write.mode("append").partitionBy("day").parquet(path)
 
 
 def retained(rows: DataFrame, days: int, as_of=None, ts: str = "ts") -> DataFrame:
@@ -72,29 +77,3 @@ def merge_rows(existing: DataFrame | None, new: DataFrame, keys: list[str], orde
     if existing is None:
         return fresh
     return existing.join(fresh, keys, "left_anti").unionByName(fresh)
-
-
-def upsert_by_day(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Merges ``new`` into a day-partitioned table, rewriting only the days it touches.
-
-    Safe to repeat: the same batch twice leaves the table as once.
-    """
-    dated = new.withColumn("day", F.to_date("ts"))
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    merged = latest_per_timestamp(dated, keys, order)
-    if fs.exists(jpath):
-        existing = spark.read.schema(dated.schema).parquet(path)
-        touched = dated.select("day").distinct()
-        merged = merge_rows(existing.join(touched, "day", "left_semi"), dated, keys, order)
-    # Written aside first: the rewrite reads the partitions it is about to replace.
-    staged = f"{path.rstrip('/')}.staged"
-    merged.write.mode("overwrite").parquet(staged)
-    (
-        spark.read.schema(dated.schema)
-        .parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )

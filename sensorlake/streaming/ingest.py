@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorlake.sources.tables import upsert_by_day
+from sensorlake.sources.ledger import Ledger
 from sensorlake.sources.telemetry import parse_messages
 
 # Fixed value: the flush interval of the ingest.
@@ -36,6 +36,15 @@ def _start(writer, available_now: bool, interval: str) -> StreamingQuery:
     return writer.trigger(processingTime=interval).start()
 
 
+# Equal keys of one batch that arrived together differ in content only; the greatest stays, whole.
+RECORD_KEYS, RECORD_ORDER = ["ts", "node_id"], ["temp", "humidity", "co2", "tvoc"]
+
+
+def telemetry_table(spark: SparkSession, path: str) -> Ledger:
+    """The table that ``ingest_telemetry`` fills."""
+    return Ledger(spark, path, RECORD_KEYS, RECORD_ORDER)
+
+
 def ingest_telemetry(
     messages: DataFrame,
     devices: DataFrame,
@@ -44,24 +53,21 @@ def ingest_telemetry(
     available_now: bool = False,
     interval: str = FLUSH_INTERVAL,
     heartbeat_table: str | None = None,
+    stream: str | None = None,
 ) -> StreamingQuery:
-    """Parses device messages and upserts them by ``(ts, node_id)`` into a day-partitioned table.
+    """Parses device messages and upserts them by ``(ts, node_id)`` into the ledger at ``table``.
 
-    A batch that is replayed after a failure merges to the same table.
+    A batch costs what it holds: it becomes one delta. A batch that is replayed after a failure, at
+    whatever point, is committed once: batches are known by ``stream``, the checkpoint if not given.
+    Deltas are merged as they become many.
     With ``heartbeat_table`` every batch leaves its heartbeat after the upsert.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         records = parse_messages(batch, devices)
-        # Equal keys in one batch differ only in content; order by it, so retries agree.
-        content = F.concat_ws("|", "temp", "humidity", "co2", "tvoc")
-        upsert_by_day(
-            batch.sparkSession,
-            records.withColumn("_order", content),
-            table,
-            ["ts", "node_id"],
-            "_order",
-        )
+        ledger = telemetry_table(batch.sparkSession, table)
+        ledger.upsert(records, stream or checkpoint, batch_id)
+        ledger.compact()
         if heartbeat_table:
             write_heartbeat(records, batch_id, heartbeat_table)
 

@@ -146,17 +146,6 @@ def test_ragged_lines_and_headings(spark):
     assert (long.node, long.metric, long.pred) == ("M1", "Temp", 1.5)
 
 
-def test_upsert_is_idempotent_and_keeps_other_days(spark, tmp_path):
-    path = str(tmp_path / "t")
-    kind = "ts timestamp_ntz, node_id string, v double, n int"
-    first = spark.createDataFrame([(at(0), "M1", 1.0, 0), (at(60 * 24), "M1", 5.0, 0)], kind)
-    second = spark.createDataFrame([(at(0), "M1", 2.0, 1), (at(0), "M1", 3.0, 2), (at(3), "M1", 4.0, 0)], kind)
-    for batch in (first, second, second):
-        tables.upsert_by_day(spark, batch, path, ["ts", "node_id"], "n")
-    got = spark.read.parquet(path).orderBy("ts").collect()
-    assert [(r.ts, r.v) for r in got] == [(at(0), 3.0), (at(3), 4.0), (at(60 * 24), 5.0)]
-
-
 def test_retention(spark, tmp_path):
     df = spark.createDataFrame([(at(0),), (at(60 * 24),), (at(60 * 96),)], "ts timestamp_ntz")
     assert tables.retained(df, 3).count() == 2

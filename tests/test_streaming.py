@@ -108,5 +108,5 @@ def test_telemetry_ingest_upserts(spark, tmp_path):
     ).awaitTermination()
     beats = ingest.heartbeats(spark, str(tmp_path / "beats"))
     assert sorted(r.n_rows for r in beats.collect()) == [1, 2]
-    got = spark.read.parquet(table).orderBy("ts").collect()
+    got = ingest.telemetry_table(spark, table).read().orderBy("ts").collect()
     assert [(r.ts, r.node_id, r.temp, r.co2) for r in got] == [(at(0), "M1", 22.0, 400), (at(3), "M1", 21.0, 400)]
