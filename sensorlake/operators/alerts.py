@@ -173,9 +173,9 @@ def cooldown(
     events: DataFrame, keys: list[str], cooldown_s: int, ts: str = "ts"
 ) -> DataFrame:
     """Events of ``keys`` that pass a plain cooldown (no reminders)."""
-    timed = materialise(events.withColumn("at_us", micros(ts)).withColumn("_all", F.lit(1)))
-    marked = greedy_accept(timed, keys or ["_all"], "at_us", cooldown_s * SECOND_US)
-    return marked.filter("accepted").drop("accepted", "prev_us", "last_us", "at_us", "_all")
+    timed = events.withColumn("at_us", micros(ts))
+    marked = greedy_accept(timed, keys, "at_us", cooldown_s * SECOND_US)
+    return marked.filter("accepted").drop("accepted", "prev_us", "last_us", "at_us")
 
 
 def most_severe(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,13 +193,11 @@ def notification_batches(
     A batch opens at its first notice and takes everything up to ``window_s`` later; it does not
     slide. The next notice opens a new one.
     """
-    sent = materialise(
-        notices.filter(F.col("kind") != "suppressed").withColumn("_all", F.lit(1))
+    sent = notices.filter(F.col("kind") != "suppressed")
+    opened = greedy_accept(sent, [], "at_us", window_s * SECOND_US, strict=True).withColumn(
+        "batch_start", from_micros("last_us")
     )
-    opened = greedy_accept(
-        sent, ["_all"], "at_us", window_s * SECOND_US, strict=True
-    ).withColumn("batch_start", from_micros("last_us"))
-    rows = opened.drop("accepted", "prev_us", "last_us", "_all", "at_us")
+    rows = opened.drop("accepted", "prev_us", "last_us", "at_us")
     return most_severe(rows, ["batch_start", "kind", *KEYS])
 
 

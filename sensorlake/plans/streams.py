@@ -68,7 +68,8 @@ def _(spark, d):
     "h02_stream_notifications",
     f"""WITH RECURSIVE {NOTICES}
     SELECT node, metric, at_us, round(value, 6) AS value, round(severity, 6) AS severity,
-      direction, reason, kind FROM notices""",
+      direction, reason, kind FROM notices
+    WHERE at_us <= (SELECT epoch_ms(max(ts)) * 1000 FROM readings) - 10 * 60 * 1000000""",
 )
 def _(spark, d):
     notices = alerts.stream_notifications(live_readings(spark, d), schema.thresholds(spark))

@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import at, channel, make_readings
 
+from pyspark.sql import functions as F
+
 from sensorlake import schema
 from sensorlake.operators import alerts
-from sensorlake.operators.cooldown import greedy_accept
+from sensorlake.operators.cooldown import UNSET, Steps, greedy_accept
 
 BOUNDS = {t[0]: t for t in schema.THRESHOLDS}
 
@@ -138,22 +141,23 @@ def test_cooldown_and_reminder_boundaries(spark):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("block", [10, 25, 1000])
-def test_greedy_chain_equals_the_loop(spark, strict, block):
+@pytest.mark.parametrize("block,fan_in", [(40, 3), (1000, 16)])
+def test_greedy_chain_equals_the_loop(spark, strict, block, fan_in):
     rng = random.Random(block)
-    rows = []
+    rows, unit = [], 10_000
     for key in "abcde":
         # "a" is a hot key: most of the rows, packed tightly.
         n = 400 if key == "a" else 30
-        rows += [(key, t, -5) for t in sorted(rng.sample(range(0, 900), n))]
+        rows += [(key, t * unit, -5 * unit) for t in sorted(rng.sample(range(0, 900), n))]
     df = spark.createDataFrame(rows, "k string, t bigint, s bigint")
     for start in (None, "s"):
-        got = greedy_accept(df, ["k"], "t", 10, strict, start, block)
+        got = greedy_accept(df, ["k"], "t", 10 * unit, strict, start, block, fan_in)
         got = {(r.k, r.t): (r.accepted, r.prev_us, r.last_us) for r in got.collect()}
-        last = {k: (-5 if start else None) for k in "abcde"}
+        last = {k: (-5 * unit if start else None) for k in "abcde"}
         for k, t, _ in rows:
             before = last[k]
-            passes = before is None or (t - before > 10 if strict else t - before >= 10)
+            gap = None if before is None else t - before
+            passes = gap is None or (gap > 10 * unit if strict else gap >= 10 * unit)
             last[k] = t if passes else before
             assert got[(k, t)] == (passes, before, last[k])
 
@@ -164,6 +168,39 @@ def test_greedy_start_inside_the_block(spark):
     assert [r.t for r in got] == [111, 140]
 
 
+def test_merged_step_functions_equal_the_loop_and_stay_small():
+    rng = random.Random(4)
+    for side in ("left", "right"):
+        for gap in (3, 40, 5000):
+            times = np.array(sorted(rng.sample(range(10_000), 600)))
+            blocks = [times[i : i + 37] for i in range(0, 600, 37)]
+            steps = [Steps.of_events(b, int(b[0]), gap, side) for b in blocks]
+            while len(steps) > 1:
+                steps = [
+                    steps[i].then(steps[i + 1]) if i + 1 < len(steps) else steps[i] for i in range(0, len(steps), 2)
+                ]
+            assert len(steps[0].upto) <= ((times >= times[0]) & (times <= times[0] + gap)).sum() + 1
+            for before in (UNSET, -gap, -1, int(times[0]) - 1, int(times[0])):
+                last = before
+                for t in times.tolist():
+                    if t - last > gap or (side == "left" and t - last == gap):
+                        last = t
+                assert steps[0](np.array([before]))[0] == last
+
+
+def test_one_chain_over_many_blocks(spark):
+    """A fleet-wide chain: no task of the tree sees more than a few small functions."""
+    df = spark.range(60_000).select((F.col("id") * 7_000_000 + F.pmod(F.xxhash64("id"), F.lit(6_000_000))).alias("t"))
+    got = greedy_accept(df, [], "t", 120_000_000, strict=True, block_rows=500, fan_in=4)
+    times = sorted(r.t for r in df.collect())
+    want, last = set(), None
+    for t in times:
+        if last is None or t - last > 120_000_000:
+            want.add(t)
+            last = t
+    assert {r.t for r in got.filter("accepted").collect()} == want
+
+
 def test_batches_open_once_and_keep_the_worst(spark):
     def notice(s, node, severity, kind="new"):
         us = int(at(seconds=s).timestamp() * 1_000_000)

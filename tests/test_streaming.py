@@ -1,6 +1,11 @@
+import datetime as dt
+import random
+
 import pytest
 from conftest import at, make_readings
 
+from pyspark.sql import functions as F
+
 from sensorlake import schema
 from sensorlake.operators import alerts, series
 from sensorlake.streaming import alerts as stream_alerts
@@ -35,20 +40,54 @@ def drain(spark, stream, tmp_path, name="out"):
     return spark.read.schema(stream.schema).parquet(out), query
 
 
-def test_stream_notices_equal_batch(spark, landed, tmp_path):
+def alert_rows():
     values = ([25.0, 34.0] * 10 + [34.0] * 60 + [None] + [34.0] * 5) * 3
     rows = [(at(13 * i), "M1", "Temp", v) for i, v in enumerate(values)]
     rows += [(at(13 * i, 1), "M4", "TVOC", 290.0 if i % 7 else 400.0) for i in range(len(values))]
-    rows.sort()
-    third = len(rows) // 3
-    stream = landed([rows[:third], rows[third : 2 * third], rows[2 * third :]])
-    got, _ = drain(spark, stream_alerts.stream_notifications(stream, schema.thresholds(spark)), tmp_path)
-    want = alerts.notifications(alerts.breach_state(make_readings(spark, rows), schema.thresholds(spark)))
-    columns = [*KEYS, "at_us", "kind"]
-    assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+    return sorted(rows)
+
+
+def batch_notices(spark, rows, upto):
+    state = alerts.breach_state(make_readings(spark, rows), schema.thresholds(spark))
+    notices = alerts.notifications(state).filter(F.col("ts") <= F.lit(upto))
+    return sorted(notices.select(*KEYS, "at_us", "kind").collect())
+
+
+@pytest.mark.parametrize("order", ["sorted", "shuffled"])
+def test_stream_notices_equal_batch_in_any_order(spark, landed, tmp_path, order):
+    rows = alert_rows()
+    late = 10
+    parts = [rows]
+    if order == "shuffled":
+        # Rows change places by up to four hours, across batches.
+        rng, late = random.Random(1), 240
+        arrival = sorted(rows, key=lambda r: r[0] + dt.timedelta(minutes=rng.uniform(0, late)))
+        cut = len(arrival) // 5
+        parts = [arrival[i * cut : (i + 1) * cut if i < 4 else None] for i in range(5)]
+    else:
+        third = len(rows) // 3
+        parts = [rows[:third], rows[third : 2 * third], rows[2 * third :]]
+    stream = stream_alerts.stream_notifications(landed(parts), schema.thresholds(spark), late=f"{late} minutes")
+    got, _ = drain(spark, stream, tmp_path)
+    upto = max(r[0] for r in rows) - dt.timedelta(minutes=late)
+    assert sorted(got.select(*KEYS, "at_us", "kind").collect()) == batch_notices(spark, rows, upto)
     assert {r.kind for r in got.select("kind").distinct().collect()} == {"new", "suppressed", "reminder"}
 
 
+def test_readings_beyond_the_allowed_lateness_are_counted(spark, landed, tmp_path):
+    hit, ok = 34.0, 25.0
+    first = [(at(0), "M1", "Temp", ok), (at(100), "M1", "Temp", hit)]
+    second = [(at(200), "M1", "Temp", ok), (at(95), "M1", "Temp", hit)]
+    third = [(at(5), "M1", "Temp", hit), (at(300), "M1", "Temp", ok)]
+    stream = stream_alerts.stream_notifications(landed([first, second, third]), schema.thresholds(spark))
+    got, query = drain(spark, stream, tmp_path)
+    # The reading at minute 95 came late, but in time; the one at minute 5 did not.
+    start = int(at().replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    assert [((r.at_us - start) / 60e6, r.kind) for r in got.collect()] == [(95.0, "new")]
+    dropped = sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+    assert dropped == 1
+
+
 def test_late_rows_are_dropped_and_open_windows_wait(spark, landed, tmp_path):
     first = [(at(m), "M1", "Temp", float(m)) for m in (0, 10, 40, 95)]
     second = [(at(80), "M1", "Temp", 80.0), (at(150), "M1", "Temp", 1.0)]
