@@ -98,8 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), f
     """Weights learned from labelled rows outside the fold ``out`` of ``folds``.
 
     One task fits at most ``settings.most_rows`` rows. Rows without a label, id or text are left
-    out; of a document's labels the largest counts. Without rows, or with one class only, the
-    model is constant.
+    out; of a document's labels the largest counts, of rows with one id the least text. Without rows,
+    or with one class only, the model is constant.
     """
     labelled = (
         labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), f
     )
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values(["at", "doc_id"])
+        group = group.sort_values(["at", "doc_id", "text"]).drop_duplicates("doc_id")
         weights = fit_ftrl(list(group["text"]), group["label"].to_numpy(float), settings)
         return pd.DataFrame({"weights": [weights.astype("<f4").tobytes()]})
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int, threshold: float = 0.
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5, out: int = 0) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``, repeated rows included.
 
-    ``held_out`` is false for a null id. Only the text enters a score.
+    The crc32 of a null id counts as that of the empty text. Only the text enters a score.
     """
     weights = train(docs, labels, settings, folds, out)
     marked = docs.select("doc_id", "text", held_out(folds, out).alias("held"))

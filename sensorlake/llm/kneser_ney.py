@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated bigram models, one of toxic and one of ordinary documents, share their lowest order:
-word counts over all documents. A word's or pair's count in a class is discounted, and what the
-discounts free goes to the next lower order, so rare expressions are judged by the shared counts and
-say nothing about the class. A class's orders count the different words before a pair or word, not
-occurrences, so copies of a document count once.
-
-A text is compared in stretches of a few words: the difference of the two log-likelihoods, divided by
-the number of words. The score comes from the highest stretch, because a few words make a long text
-toxic; a logistic curve, fitted on labelled documents that the models have not seen, maps it to 0..1.
+Toxic and ordinary documents each get two interpolated Kneser-Ney models. One gives a word's probability:
+its continuation count in the class (the different words before it), discounted, over backoff counts
+that both classes share, the occurrences of words in all documents. The other spells words byte by byte
+with six-grams that back off order by order, so that forms never met are judged by their parts. Discounts
+follow from each order's counts of counts (one each for counts of one, two and more) and so lie below
+the count they are taken from; what they free goes to the next lower order. A rare expression keeps
+little of its own count and falls back to what is shared, where it says nothing about the class.
+
+A text is judged by differences of toxic and ordinary log-likelihoods, per word: their mean over the
+text, the mean of its two highest words, and the share of words beyond ``CLEAR``, from each model. A
+logistic curve over these, fitted on labelled documents that the models have not seen, gives 0..1.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ from sensorlake.llm import tokens
 from sensorlake.llm.ftrl import held_out
 
 U = np.uint64
+#: A log-likelihood difference that a word of one class only has, in nats.
+CLEAR = 2.0
+ORDER = 6
+#: Bits of a byte of a spelled word; 257 and 258 open and close a word, 0 is no byte.
+SYMBOL, OPEN, CLOSE = 9, 257, 258
 
 
 @dataclass(frozen=True)
@@ -35,11 +42,6 @@ class Settings:
     most_rows: int = 4_000
     #: Places for the shared word counts; words that share a place share their counts.
     bits: int = 21
-    #: Discounts of a word's and a pair's count; below them a count is no evidence of a class. Edited
-    #: copies put one pair after many words, hence the larger one.
-    discount: float = 4.0
-    pair_discount: float = 30.0
-    stretch: int = 2
     threshold: float = 0.3
 
 
@@ -47,19 +49,23 @@ def _place(words: np.ndarray, bits: int) -> np.ndarray:
     return (words >> U(64 - bits)).astype(np.int64)
 
 
-def _words(column: pa.Array):
+def _stretches(column: pa.Array):
+    """``first text, last text, bytes, text of each word, begins, ends, hashes`` of stretches."""
     data, offsets = tokens.utf8(pc.utf8_lower(column))
     for a, b in tokens.slices(offsets):
-        text, _, words, _ = tokens.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tokens.LETTERS)
-        yield a, b, text, words
+        own, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        text, begin, words, _ = tokens.words(own, edges, tokens.LETTERS)
+        border = np.ones(len(own) + 1, bool)
+        border[:-1] = tokens.LETTERS[own] == 0
+        border[edges] = True
+        stops = np.flatnonzero(border)
+        end = stops[np.searchsorted(stops, begin, side="right")] if len(begin) else begin
+        yield a, b, own, text, begin, end, words
 
 
-def _pairs(text: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it in its text (0 before the first)."""
-    before = np.zeros(len(words), np.uint64)
-    if len(words) > 1:
-        before[1:] = np.where(text[1:] == text[:-1], words[:-1], U(0))
-    return before
+def _pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return tokens.mix(before * U(0xD6E8FEB86659FD93) + words)
 
 
 def shared_counts(docs: DataFrame, bits: int) -> np.ndarray:
@@ -69,7 +75,7 @@ def shared_counts(docs: DataFrame, bits: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for _, _, _, words in _words(batch.column("text")):
+            for *_, words in _stretches(batch.column("text")):
                 np.add.at(total, _place(words, bits), 1)
         place = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "n"])
@@ -92,120 +98,228 @@ def shared_counts(docs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-class ClassModel:
-    """Discounted counts of one class over shared word probabilities."""
-
-    def __init__(self, columns: list[pa.Array], shared: np.ndarray, s: Settings):
-        thirds = []
-        for column in columns:
-            for _, _, text, words in _words(column):
-                before = _pairs(text, words)
-                earlier = np.zeros_like(before)
-                earlier[1:] = np.where(before[1:] != 0, before[:-1], U(0))
-                # One of each three-word run is enough: copies of a text add nothing.
-                _, first = np.unique(_pair_hash(_pair_hash(earlier, before), words), return_index=True)
-                thirds.append(np.stack([earlier[first], before[first], words[first]]))
-        triple = np.concatenate(thirds, axis=1) if thirds else np.zeros((3, 0), np.uint64)
-        _, first = np.unique(_pair_hash(_pair_hash(triple[0], triple[1]), triple[2]), return_index=True)
-        before, word = triple[1][first], triple[2][first]
-        del triple, thirds
-        # Different words before a pair, and different words before a word.
-        self.pair, first, times = np.unique(_pair_hash(before, word), return_index=True, return_counts=True)
-        self.pair_count = times.astype(np.float32)
-        before, word = before[first], word[first]
-        self.word, self.word_count = np.unique(word, return_counts=True)
-        d, self.pair_discount = s.discount, s.pair_discount
-        total = max(len(word), 1)
-        self.word_rate = np.maximum(self.word_count - d, 0) / total
-        self.word_free = (1 - self.word_rate.sum()) if len(word) else 1.0
-        # Occurrences of a word as a context and what its discounted pairs free.
-        self.context, at = np.unique(before, return_inverse=True)
-        uses = np.bincount(at, weights=self.pair_count, minlength=len(self.context))
-        kept = np.bincount(at, weights=np.maximum(self.pair_count - self.pair_discount, 0), minlength=len(self.context))
-        # Counts below the discounts add nothing; contexts without a kept pair free everything.
-        some, known = kept > 0, self.word_count > d
-        self.context, self.context_uses = self.context[some], uses[some]
-        self.context_free = 1 - kept[some] / uses[some]
-        self.word, self.word_rate = self.word[known], self.word_rate[known]
-        del self.word_count
-        many = self.pair_count > self.pair_discount
-        self.pair, self.pair_count = self.pair[many], self.pair_count[many]
-
-    def log_probability(self, before: np.ndarray, words: np.ndarray, lowest: np.ndarray) -> np.ndarray:
-        uses, known = _look(self.context, self.context_uses, before)
-        free, _ = _look(self.context, self.context_free, before)
-        free = np.where(known, free, 1.0)
-        pairs, seen = _look(self.pair, self.pair_count, _pair_hash(before, words))
-        rate, _ = _look(self.word, self.word_rate, words)
-        high = np.where(seen, np.maximum(pairs - self.pair_discount, 0) / np.maximum(uses, 1), 0.0)
-        return np.log(high + free * (rate + self.word_free * lowest))
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What counts of 1, 2 and more lose, from the counts of counts; index 0 is 0. Where these say
+    nothing (a count of counts is zero), the estimate of the count before it, or a half, stands."""
+    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(float)
+    out, last = np.zeros(4), 0.5
+    share = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    for j in (1, 2, 3):
+        if share and n[j - 1] and n[j]:
+            last = j - (j + 1) * share * n[j] / n[j - 1]
+        out[j] = min(max(last, 0.05), j - 0.02)
+    return out
 
 
-def _pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return tokens.mix(before * U(0xD6E8FEB86659FD93) + words)
+def _lost(counts: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return by[np.minimum(counts, 3).astype(np.int64)]
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _look(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Each of ``values`` at ``wanted``, zero where it is not among the sorted ``keys``."""
     if not len(keys):
-        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        return [np.zeros(len(wanted)) for _ in values]
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     known = keys[at] == wanted
-    return np.where(known, values[at], 0.0), known
+    return [np.where(known, v[at], 0.0) for v in values]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=counts, minlength=len(keys))
+
+
+class WordModel:
+    """Discounted continuation counts of a class over a shared word distribution."""
+
+    def __init__(self, columns: list[pa.Array]):
+        seen = []
+        for column in columns:
+            for _, _, _, text, _, _, words in _stretches(column):
+                before = np.zeros(len(words), U)
+                before[1:] = np.where(text[1:] == text[:-1], words[:-1], U(0))
+                _, first = np.unique(_pair_hash(before, words), return_index=True)
+                seen.append(np.stack([before[first], words[first]]))
+        both = np.concatenate(seen, axis=1) if seen else np.zeros((2, 0), U)
+        _, first = np.unique(_pair_hash(both[0], both[1]), return_index=True)
+        self.words, counts = np.unique(both[1][first], return_counts=True)
+        lost = _lost(counts, discounts(counts))
+        total = max(int(counts.sum()), 1)
+        self.rate = (counts - lost) / total
+        self.free = float(lost.sum() / total) if len(counts) else 1.0
+
+    def probability(self, words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        return _look(self.words, words, self.rate)[0] + self.free * shared
+
+
+def spelled(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Codes of the last ``ORDER`` symbols up to every symbol of the words, but for the opening. Symbols
+    of a word follow one another; a code has fewer where the word opens within them."""
+    length = end - begin + 2
+    edge = np.concatenate([[0], np.cumsum(length)])
+    at = np.arange(edge[-1]) - np.repeat(edge[:-1], length)
+    place = np.repeat(begin, length) + at - 1
+    last = np.repeat(length, length) - 1
+    symbols = np.where(at == 0, OPEN, np.where(at == last, CLOSE, 0)).astype(np.int64)
+    inner = symbols == 0
+    symbols[inner] = data[place[inner]].astype(np.int64) + 1
+    code = symbols.copy()
+    for i in range(1, ORDER):
+        code[i:] += np.where(at[i:] >= i, symbols[:-i], 0) << (SYMBOL * i)
+    return code[at > 0]
+
+
+class SpellingModel:
+    """Byte n-grams of a class's words. The highest order counts occurrences, as does any order at the
+    opening of a word; lower ones count the different symbols before."""
+
+    def __init__(self, columns: list[pa.Array]):
+        codes, counts = [], []
+        for column in columns:
+            for _, _, data, _, begin, end, words in _stretches(column):
+                _, first, times = np.unique(words, return_index=True, return_counts=True)
+                times = np.repeat(times, end[first] - begin[first] + 1)
+                code, n = _summed(spelled(data, begin[first], end[first]), times)
+                codes.append(code)
+                counts.append(n)
+        code, count = _summed(
+            np.concatenate(codes) if codes else np.zeros(0, np.int64), np.concatenate(counts) if counts else np.zeros(0)
+        )
+        size = _sizes(code)
+        self.levels = []
+        lower_code, lower_count = np.zeros(0, np.int64), np.zeros(0)
+        for k in range(ORDER, 0, -1):
+            own = size == k
+            keys, n = _summed(np.concatenate([code[own], lower_code]), np.concatenate([count[own], lower_count]))
+            lost = _lost(n, discounts(n))
+            context, total = _summed(keys >> SYMBOL, n)
+            free = _summed(keys >> SYMBOL, lost)[1]
+            self.levels.append((keys, n - lost, context, total, free))
+            lower_code = keys & ((1 << (SYMBOL * (k - 1))) - 1)
+            lower_count = np.ones(len(lower_code))
+        self.levels.reverse()
+
+    def log_probability(self, code: np.ndarray) -> np.ndarray:
+        """Of each code's last symbol after the others."""
+        p = np.full(len(code), 1 / CLOSE)
+        for k, (keys, kept, context, total, free) in enumerate(self.levels, 1):
+            gram = code & ((1 << (SYMBOL * k)) - 1)
+            n, f = _look(context, gram >> SYMBOL, total, free)
+            c = _look(keys, gram, kept)[0]
+            # A code that is shorter than the order has no such history.
+            known = (n > 0) & ((k == 1) | (gram >> (SYMBOL * (k - 1)) > 0))
+            n = np.where(known, n, 1.0)
+            p = np.where(known, c / n + f / n * p, p)
+        return np.log(p)
+
+
+def _sizes(code: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(code), np.int64)
+    for k in range(ORDER):
+        out += code >> (SYMBOL * k) > 0
+    return out
+
+
+#: A task remembers the results of at most this many words; then it begins anew.
+MOST_MET = 1 << 20
+_NONE_MET = np.zeros(0, U), np.zeros((2, 0))
 
 
 class Models:
+    """Both models of both classes."""
+
     def __init__(self, toxic: list[pa.Array], ordinary: list[pa.Array], shared: np.ndarray, s: Settings):
-        self.settings = s
-        self.lowest = ((shared + 0.1) / (shared.sum() + 0.1 * len(shared))).astype(np.float32)
-        self.toxic, self.ordinary = ClassModel(toxic, shared, s), ClassModel(ordinary, shared, s)
+        self.bits = s.bits
+        self.shared = ((shared + 0.1) / (shared.sum() + 0.1 * len(shared))).astype(np.float32)
+        self.words = WordModel(toxic), WordModel(ordinary)
+        self.spelling = SpellingModel(toxic), SpellingModel(ordinary)
+        self.met = _NONE_MET
 
     def state(self) -> dict:
         """Plain arrays and numbers, to be sent to other processes."""
-        return {"lowest": self.lowest, "toxic": vars(self.toxic), "ordinary": vars(self.ordinary)}
+        return {"bits": self.bits, "shared": self.shared, "words": [vars(m) for m in self.words],
+                "spelling": [m.levels for m in self.spelling]}
 
     @classmethod
-    def from_state(cls, state: dict, s: Settings) -> Models:
+    def from_state(cls, state: dict) -> Models:
         out = cls.__new__(cls)
-        out.settings, out.lowest = s, state["lowest"]
-        for name in ("toxic", "ordinary"):
-            model = ClassModel.__new__(ClassModel)
-            vars(model).update(state[name])
-            setattr(out, name, model)
+        out.bits, out.shared = state["bits"], state["shared"]
+        out.words, out.spelling, out.met = [], [], _NONE_MET
+        for fields in state["words"]:
+            out.words.append(WordModel.__new__(WordModel))
+            vars(out.words[-1]).update(fields)
+        for levels in state["spelling"]:
+            out.spelling.append(SpellingModel.__new__(SpellingModel))
+            out.spelling[-1].levels = levels
+        return out
+
+    def differences(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of words, a row for each of the two models."""
+        shared = self.shared[_place(words, self.bits)].astype(float)
+        toxic, ordinary = (np.log(m.probability(words, shared)) for m in self.words)
+        code, back = np.unique(spelled(data, begin, end), return_inverse=True)
+        gain = (self.spelling[0].log_probability(code) - self.spelling[1].log_probability(code))[back]
+        of = np.repeat(np.arange(len(words)), end - begin + 1)
+        return np.stack([toxic - ordinary, np.bincount(of, weights=gain, minlength=len(words))])
+
+    def of_words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The same for sorted distinct words; those met before are looked up."""
+        known, values = self.met if len(self.met[0]) < MOST_MET else _NONE_MET
+        at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+        new = known[at] != words if len(known) else np.ones(len(words), bool)
+        out = np.empty((2, len(words)))
+        out[:, ~new] = values[:, at[~new]]
+        if new.any():
+            out[:, new] = self.differences(data, begin[new], end[new], words[new])
+            places = np.searchsorted(known, words[new])
+            self.met = np.insert(known, places, words[new]), np.insert(values, places, out[:, new], axis=1)
         return out
 
-    def highest(self, column: pa.Array) -> np.ndarray:
-        """Highest length-normalised difference of a text's stretches; -5 without words."""
-        s = self.settings
-        out = np.full(len(column), -5.0)
-        for a, _, text, words in _words(column):
+    def features(self, column: pa.Array) -> np.ndarray:
+        """Six numbers for each text; zeros without words."""
+        out = np.zeros((len(column), 6))
+        for a, b, data, text, begin, end, words in _stretches(column):
             if not len(words):
                 continue
-            before = _pairs(text, words)
-            lowest = self.lowest[_place(words, s.bits)].astype(float)
-            gain = self.toxic.log_probability(before, words, lowest) - self.ordinary.log_probability(before, words, lowest)
-            sums = np.concatenate([[0.0], np.cumsum(gain)])
-            edge = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            begin = np.repeat(edge, np.diff(np.r_[edge, len(words)]))
-            low = np.maximum(np.arange(len(words)) - s.stretch + 1, begin)
-            mean = (sums[1:] - sums[low]) / s.stretch
-            out[a + text[edge]] = np.maximum.reduceat(mean, edge)
+            _, first, back = np.unique(words, return_index=True, return_inverse=True)
+            values = self.of_words(data, begin[first], end[first], words[first])[:, back]
+            n = np.bincount(text, minlength=b - a)
+            some = np.flatnonzero(n)
+            last = np.cumsum(n)[some] - 1
+            for k, v in enumerate(values):
+                mean = np.bincount(text, weights=v, minlength=b - a) / np.maximum(n, 1)
+                clear = np.bincount(text, weights=v > CLEAR, minlength=b - a) / np.maximum(n, 1)
+                rising = v[np.lexsort((v, text))]
+                top = np.zeros(b - a)
+                top[some] = np.where(n[some] > 1, (rising[last] + rising[np.maximum(last - 1, 0)]) / 2, rising[last])
+                out[a:b, 3 * k : 3 * k + 3] = np.stack([mean, top, clear], axis=1)
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a little shrinkage."""
-    w = np.zeros(2)
-    data = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(data @ w, -30, 30)))
-        g = data.T @ (p - y) + 0.05 * w * [1, 0]
-        h = (data * (p * (1 - p))[:, None]).T @ data + np.diag([0.05, 1e-6])
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
+class Curve:
+    """Logistic regression on standardised features, by Newton steps with a little shrinkage."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        self.weights = np.zeros(x.shape[1] + 1)
+        data, pull = self._data(x), np.r_[np.ones(x.shape[1]), 1e-6]
+        for _ in range(60):
+            p = self._chance(data)
+            g = data.T @ (p - y) + pull * self.weights
+            h = (data * (p * (1 - p))[:, None]).T @ data + np.diag(pull)
+            step = np.linalg.solve(h, g)
+            self.weights = self.weights - step
+            if np.abs(step).max() < 1e-8:
+                break
+
+    def _data(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[(x - self.mean) / self.spread, np.ones(len(x))]
+
+    def _chance(self, data: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(data @ self.weights, -30, 30)))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._chance(self._data(x))
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: int = 4, out: int = 2):
@@ -213,9 +327,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: i
     documents.
 
     Of each class at most ``most_rows`` labelled documents are fitted, in one task. Rows without a
-    label, id or text are left out; of a document's labels the largest counts. The curve is fitted
-    on the differences that two models, each from one half, give the other half. Where a class has
-    no document, the score is 0 or 1 throughout.
+    label, id or text are left out; of a document's labels the largest counts, of rows with one id the
+    least text. The curve is fitted on the features that two models, each from one half, give the
+    other half. Where a class has no document, all scores are alike: near 0 without toxic documents,
+    near 1 without ordinary ones. Returns ``(state of Models, Curve)`` or ``(None, score)``.
     """
     spark = docs.sparkSession
     shared = shared_counts(docs, s.bits)
@@ -234,47 +349,55 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), folds: i
     counts = spark.sparkContext.broadcast(shared.astype(np.float32))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values(["at", "doc_id"])
-        label = group["label"].to_numpy()
-        half = np.arange(len(group)) % 2
-        text = group["text"]
-        columns = {k: pa.array(text[label == k].tolist(), pa.large_string()) for k in (0, 1)}
-        if not len(columns[0]) or not len(columns[1]):
-            return pd.DataFrame({"model": [pickle.dumps((None, 0.0, 10.0 if len(columns[1]) else -10.0))]})
+        group = group.sort_values(["at", "doc_id", "text"]).drop_duplicates("doc_id")
+        label, text = group["label"].to_numpy(), group["text"]
+        half = np.zeros(len(group), int)
+        for k in (0, 1):
+            half[label == k] = np.arange((label == k).sum()) % 2
+
+        def texts(of: np.ndarray) -> list[pa.Array]:
+            return [pa.array(text[of].tolist(), pa.large_string())]
+
         total = counts.value.astype(float)
+        if not (label == 1).any() or not (label == 0).any():
+            return pd.DataFrame({"model": [pickle.dumps((None, 1.0 if (label == 1).any() else 0.0))]})
         x, y = [], []
         for side in (0, 1):
-            part = [pa.array(text[(label == k) & (half == side)].tolist(), pa.large_string()) for k in (0, 1)]
-            other = pa.array(text[half != side].tolist(), pa.large_string())
-            if len(part[0]) and len(part[1]):
-                x.append(Models([part[1]], [part[0]], total, s).highest(other))
-                y.append(label[half != side])
-        models = Models([columns[1]], [columns[0]], total, s)
-        slope, offset = logistic(np.concatenate(x), np.concatenate(y).astype(float)) if x else (1.0, 0.0)
-        return pd.DataFrame({"model": [pickle.dumps((models.state(), slope, offset), protocol=5)]})
+            seen, other = half == side, half != side
+            if other.any() and (label[seen] == 1).any() and (label[seen] == 0).any():
+                models = Models(texts(seen & (label == 1)), texts(seen & (label == 0)), total, s)
+                x.append(models.features(texts(other)[0]))
+                y.append(label[other])
+        models = Models(texts(label == 1), texts(label == 0), total, s)
+        if not x:
+            x, y = [models.features(texts(label >= 0)[0])], [label]
+        curve = Curve(np.concatenate(x), np.concatenate(y).astype(float))
+        return pd.DataFrame({"model": [pickle.dumps((models.state(), vars(curve)), protocol=5)]})
 
     fitted = rows.groupBy(F.lit(1).alias("one")).applyInPandas(fit, "model binary").first()
     if fitted is None:
-        return None, 0.0, -10.0
+        return None, 0.0
     return pickle.loads(bytes(fitted["model"]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 4, out: int = 2) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``, repeated rows included.
 
-    Null and empty texts and texts without words get the curve's value far on the ordinary side.
-    ``held_out`` is false for a null id. Only the text enters a score.
+    Null and empty texts and texts without words have the features zero, no evidence of either class.
+    The crc32 of a null id counts as that of the empty text. Only the text enters a score. Columns
+    other than ``doc_id`` and ``text`` are ignored.
     """
     s = settings
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, s, folds, out))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, slope, offset = model.value
-        models = state and Models.from_state(state, s)
+        state, curve = model.value
+        if state is not None:
+            models, fitted = Models.from_state(state), Curve.__new__(Curve)
+            vars(fitted).update(curve)
         for batch in batches:
             column = batch.column("text")
-            x = np.zeros(len(column)) if models is None else models.highest(column)
-            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+            p = np.full(len(column), curve) if state is None else fitted(models.features(column))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held"), pa.array(p), pa.array((p >= s.threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
