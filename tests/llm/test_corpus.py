@@ -290,12 +290,6 @@ def test_main_texts(spark, none):
     assert wrappers.main_texts(frame.limit(0)).count() == 0
 
 
-def test_tree_matching():
-    a, b = (wrappers.outline(wrappers.parse(x)) for x in ("<div><h1>t</h1><p>x<ul><li>1</ul></div>", "<div><p>y<p>z<ul><li>2</ul></div>"))
-    size, pairs = wrappers.match(a, b)
-    assert size == len(pairs) and {x.label for x, _ in pairs} >= {"#main", "p"}
-
-
 # 7 Licences
 
 
