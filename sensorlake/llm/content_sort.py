@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sensorlake.llm.names import col, packed, unpacked
+
 PREFIX_BYTES = 24
 PIECE_ROWS = 2_000
 #: At most this many texts are dealt to pieces, for each shuffle partition.
@@ -40,22 +42,51 @@ def exact_groups(
     Only the most frequent texts (a fixed number per partition) are dealt to pieces; any other text
     has too few rows to matter to a task.
     """
+    rows = _grouped(docs, id_column, text_column, normalise, keep, piece_rows, carry)
+    out = [F.col("_id").alias(id_column)]
+    if carry:
+        taken = (id_column, *RESULTS.values())
+        out += [c for name, c in _inputs(docs, id_column, text_column, normalise) if name not in taken]
+    return rows.select(*out, *[F.col(work).alias(name) for work, name in RESULTS.items()])
+
+
+def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", normalise=None,
+                keep: str = "smallest", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that stay, one per distinct normalised text, with the input's columns."""
+    rows = _grouped(docs, id_column, text_column, normalise, keep, piece_rows, True)
+    return rows.filter("_kept").select(*[c for _, c in _inputs(docs, id_column, text_column, normalise)])
+
+
+#: Working names of the results.
+RESULTS = {"_keep_id": "keep_id", "_group_size": "group_size", "_kept": "kept", "_sha": "text_sha256"}
+
+
+def _inputs(docs: DataFrame, id_column: str, text_column: str, normalise) -> list[tuple[str, Column]]:
+    """The input's columns, from the rows of ``_grouped``."""
+    out = []
+    for name in docs.columns:
+        if name == id_column:
+            out.append((name, F.col("_id").alias(name)))
+        elif name == text_column and normalise is None:
+            out.append((name, F.when(~F.col("_no_text"), F.col("_content")).alias(name)))
+        else:
+            out.append((name, unpacked("_rest", [name])[0]))
+    return out
+
+
+def _grouped(docs, id_column, text_column, normalise, keep, piece_rows, carry) -> DataFrame:
+    """Rows with ``_id``, ``_content``, the results and, with ``carry``, other columns as ``_rest``."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(col(text_column).cast("string"), F.lit(""))
     content: Column = text if normalise is None else F.coalesce(normalise(text), F.lit(""))
-    results = ("keep_id", "group_size", "kept", "text_sha256")
-    others = [
-        F.col(f"`{c}`")
-        for c in docs.columns
-        if carry and c != id_column and c not in results and (c != text_column or normalise)
-    ]
+    known = (id_column,) if normalise else (id_column, text_column)
+    others = [packed(docs, known).alias("_rest")] if carry else []
     keyed = docs.select(
-        F.col(id_column).alias("_id"),
+        col(id_column).alias("_id"),
         content.alias("_content"),
-        *([F.col(text_column).isNull().alias("_no_text")] if carry and normalise is None else []),
+        *([col(text_column).isNull().alias("_no_text")] if carry and normalise is None else []),
         F.xxhash64(content).alias("_hash"),
         *others,
     )
@@ -118,22 +149,10 @@ def exact_groups(
         "left",
     )
     split = F.col("_all_size").isNotNull()
-    out = {
-        "keep_id": F.when(split, F.col("_all_best")).otherwise(F.col("_best")),
-        "group_size": F.coalesce("_all_size", "_size").cast("long"),
-        "kept": (F.col("_place") == 1) & F.when(split, F.col("_piece") == F.col("_lead")).otherwise(True),
-        "text_sha256": F.col("_sha"),
-    }
-    columns = [F.col("_id").alias(id_column)]
-    if carry and normalise is None:
-        columns.append(F.when(~F.col("_no_text"), F.col("_content")).alias(text_column))
-    return joined.select(*columns, *others, *[c.alias(n) for n, c in out.items()])
-
-
-def exact_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one per distinct normalised text, with the input's columns."""
-    groups = exact_groups(docs, carry=True, **options)
-    taken = [c for c in docs.columns if c not in groups.columns or c in ("keep_id", "group_size", "kept", "text_sha256")]
-    if taken:
-        raise ValueError(f"rename the columns {taken} first")
-    return groups.filter("kept").select(*docs.columns)
+    return joined.withColumns(
+        {
+            "_keep_id": F.when(split, F.col("_all_best")).otherwise(F.col("_best")),
+            "_group_size": F.coalesce("_all_size", "_size").cast("long"),
+            "_kept": (F.col("_place") == 1) & F.when(split, F.col("_piece") == F.col("_lead")).otherwise(True),
+        }
+    )

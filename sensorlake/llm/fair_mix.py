@@ -14,8 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sensorlake.llm.names import packed, unpacked
 from sensorlake.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,14 +83,15 @@ def mix_plan(
     to be a list that fits one task (one row each); their documents are not.
     """
     rounds = int(-(-most // 1))
-    sized = docs.select(
+    # Texts are read and counted once.
+    sized = materialise(docs.select(
         F.col("doc_id"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        word_count(F.col("text")).alias("size"),
         F.col("source").cast("string").alias("source"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_at"),
     ).withColumn(
         "_range", F.floor(F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * hash_ranges / 2**32)
-    )
+    ))
     ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     sizes = ranges.groupBy("source").agg(F.sum("_words").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
@@ -100,7 +102,7 @@ def mix_plan(
         F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"),
     ).join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     queue = Window.partitionBy("source", "_range").orderBy("_at", "doc_id", "size")
-    # Read by three steps below; written once, it also spares them the texts.
+    # Read by three steps below.
     queued = materialise(
         sized.withColumn("_sum", F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_nth", F.row_number().over(queue))
@@ -130,6 +132,8 @@ def mix_plan(
     # One row per range of time: bounded by the parameter.
     taken = (
         copies.join(F.broadcast(running), F.col("_slot") == F.col("_t"))
+        # Ranges that open beyond the budget have nothing to give, whatever their order.
+        .filter(F.col("_base") <= F.col("budget") + F.lit(0.5))
         .withColumn("_total", F.sum("size").over(line) + F.col("_base"))
         .filter(F.col("_total") <= F.col("budget") + F.lit(0.5))
         .groupBy(F.col("source").alias("_ts"), F.col("_range").alias("_tr"), F.col("_nth").alias("_tn"))
@@ -153,16 +157,45 @@ def mix_plan(
     )
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``mix_copies`` and ``mix_finish``.
 
-    Ids must be unique. Sorting the result by ``mix_finish`` gives the order of the first copies.
-    An input column named like one of the two is replaced.
+    Sorting the result by ``mix_finish`` gives the order of the first copies. Rows with the same id,
+    source and size share what the mix takes of them, the first by a hash of the text the most; each
+    is returned once at most. An input column named like one of the two results is replaced.
     """
-    plan = mix_plan(docs, **options).filter("copies > 0").select(
+    results = ("mix_copies", "mix_finish")
+    names = [c for c in docs.columns if c not in results]
+    same = ["_id", "_source", "_size"]
+    plan = (
+        mix_plan(docs, **options)
+        .filter("copies > 0")
+        .groupBy(F.col("doc_id").alias("_pid"), F.col("source").alias("_ps"), F.col("size").alias("_pn"))
+        .agg(F.sort_array(F.collect_list(F.struct("copies", (-F.col("finish")).alias("late"))), False).alias("_taken"))
+    )
+    rows = docs.select(
+        packed(docs, results).alias("_row"),
         F.col("doc_id").alias("_id"),
-        F.col("copies").alias("mix_copies"),
-        F.col("finish").alias("mix_finish"),
+        F.col("source").cast("string").alias("_source"),
+        word_count(F.col("text")).alias("_size"),
+        F.xxhash64("text").alias("_text"),
+    )
+    joined = rows.join(
+        plan,
+        F.col("_id").eqNullSafe(F.col("_pid")) & F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_size") == F.col("_pn")),
+    )
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("_text"))
+    return (
+        joined.withColumn("_place", place)
+        .filter(F.col("_place") <= F.size("_taken"))
+        .withColumn("_own", F.col("_taken")[F.col("_place") - 1])
+        .select(
+            *unpacked("_row", names),
+            F.col("_own.copies").alias("mix_copies"),
+            (-F.col("_own.late")).alias("mix_finish"),
+        )
     )
-    kept = [c for c in docs.columns if c not in ("mix_copies", "mix_finish")]
-    return docs.select(*kept).join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sensorlake.llm import tokens
 from sensorlake.llm.components import connected_components
+from sensorlake.llm.names import free_name
 from sensorlake.session import materialise
 
 U = np.uint64
@@ -277,10 +278,14 @@ def near_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .sortWithinPartitions("cluster", "low", "high")
         .mapInArrow(_verified(s), "a long, b long")
     )
+    of_rows = sketches.drop("bands").join(sets.drop("bands"), same_set, "left")
+    # Rows of one id with different sets are one document.
+    of_ids = of_rows.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("b < a")
+    several = of_ids.select("doc_id", "b").join(of_rows.select("doc_id", "rep").distinct(), "doc_id").filter("rep <> b")
+    links = links.unionByName(several.select(F.col("rep").alias("a"), "b"))
     parts = connected_components(links).withColumnsRenamed({"node": "rep"})
     named = (
-        sketches.drop("bands")
-        .join(sets.drop("bands"), same_set, "left")
+        of_rows
         .join(parts, "rep", "left")
         .withColumn("part", F.coalesce("component", "rep", "doc_id"))
         .select("doc_id", F.col("n").alias("n_shingles"), "part")
@@ -298,5 +303,6 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Rows with a null id stay; repeated rows of a kept id stay as they are.
     """
-    dropped = near_groups(docs, settings).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    name = free_name(docs, "_dropped")
+    dropped = near_groups(docs, settings).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")

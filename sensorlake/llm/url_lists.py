@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sensorlake.llm.names import packed, unpacked
+
 #: Scheme, optional user, host, optional port; the path ends before ``?`` or ``#``.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -72,7 +74,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     last entry forward.
     """
     outputs = ("host", "verdict", "rule", "rule_from")
-    kept = captures.select(*[c for c in captures.columns if c not in outputs])
+    names = [c for c in captures.columns if c not in outputs]
+    kept = captures.select(packed(captures, outputs).alias("_row"), "url", "fetched")
     wanted = kept.select("url", "fetched").filter("url IS NOT NULL AND fetched IS NOT NULL").distinct()
     tried = wanted.select("url", "fetched", F.explode(rules_of(F.col("url"))).alias("rule"))
     listed = intervals(entries)
@@ -96,11 +99,12 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("verdict", "rule", "rule_from"), best).alias("_found"))
         .select(F.col("url").alias("_url"), F.col("fetched").alias("_fetched"), "_found")
     )
-    return (
-        kept.join(judged, (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_fetched")), "left")
-        .withColumn("host", host(F.col("url")))
-        .withColumn("verdict", F.coalesce(F.col("_found.verdict"), F.lit("none")))
-        .withColumn("rule", F.col("_found.rule"))
-        .withColumn("rule_from", F.col("_found.rule_from"))
-        .drop("_url", "_fetched", "_found")
+    return kept.join(
+        judged, (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_fetched")), "left"
+    ).select(
+        *unpacked("_row", names),
+        host(F.col("url")).alias("host"),
+        F.coalesce(F.col("_found.verdict"), F.lit("none")).alias("verdict"),
+        F.col("_found.rule").alias("rule"),
+        F.col("_found.rule_from").alias("rule_from"),
     )
