@@ -237,13 +237,27 @@ def clean(frame: DataFrame, **options) -> DataFrame:
     After interpolation a channel is null everywhere or nowhere, so dropping the dead channels is
     a filter, not a second pass.
     """
-    block_rows = options.get("block_rows", BLOCK_ROWS)
-    filled = interpolate(flagged(frame, **options), value="kept", block_rows=block_rows)
+    return _cleaned(_filled(flagged(frame, **options), options))
+
+
+def _filled(flags: DataFrame, options: dict) -> DataFrame:
+    return interpolate(flags, value="kept", block_rows=options.get("block_rows", BLOCK_ROWS))
+
+
+def _cleaned(filled: DataFrame) -> DataFrame:
     return filled.filter(F.col("filled").isNotNull()).select(
         "ts", "pos", *KEYS, F.col("filled").alias("value")
     )
 
 
+def gated_clean(frame: DataFrame, min_rows: int = MIN_ROWS, **options) -> DataFrame:
+    """``clean`` behind the gate: ``DataQualityError`` on an empty frame, on too few rows and where no
+    channel is usable. Flags and fills are worked out once, for the report and the result."""
+    filled = materialise(_filled(flagged(frame, **options), options))
+    require_quality(_report(filled, min_rows))
+    return _cleaned(filled)
+
+
 def dead_channels(frame: DataFrame, value: str = "value") -> DataFrame:
     return (
         frame.groupBy(*KEYS)
@@ -258,21 +272,27 @@ def drop_dead_channels(frame: DataFrame, value: str = "value") -> DataFrame:
 
 
 def quality_report(frame: DataFrame, min_rows: int = MIN_ROWS, **options) -> DataFrame:
-    """One row per channel: what came in, what each step removed, what is left to fill."""
-    flags = flagged(frame, **options)
+    """One row per channel: what came in, what each step removed, what was filled, and what is still
+    missing after that in a channel that stays."""
+    return _report(_filled(flagged(frame, **options), options), min_rows)
+
+
+def _report(filled: DataFrame, min_rows: int) -> DataFrame:
     return (
-        flags.groupBy(*KEYS)
+        filled.groupBy(*KEYS)
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count("value").alias("n_in"),
             F.count_if("is_flat").alias("n_flat"),
             F.count_if("is_outlier").alias("n_outlier"),
             F.count("kept").alias("n_kept"),
+            F.count("filled").alias("_n_after"),
         )
         .withColumn("dropped", F.col("n_kept") == 0)
-        .withColumn("n_filled", F.when(F.col("dropped"), 0).otherwise(F.col("n_rows") - F.col("n_kept")))
-        .withColumn("n_missing_after", F.lit(0).cast("bigint"))
+        .withColumn("n_filled", F.when(F.col("dropped"), 0).otherwise(F.col("_n_after") - F.col("n_kept")))
+        .withColumn("n_missing_after", F.when(F.col("dropped"), 0).otherwise(F.col("n_rows") - F.col("_n_after")))
         .withColumn("enough_rows", F.col("n_rows") >= min_rows)
+        .drop("_n_after")
     )
 
 

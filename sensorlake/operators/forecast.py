@@ -89,11 +89,10 @@ def training_rows(frame: DataFrame, rows: int = schema.TRAIN_ROWS, lags: int = L
     return last_rows(frame, max(rows, lags + 2))
 
 
-def fit(windows: DataFrame, keys: list[str] = KEYS, lags: int = LAGS, weight=None) -> DataFrame:
-    """Coefficients ``(intercept, b1 .. bL)`` per key from distributed normal equations.
+def normal_sums(windows: DataFrame, keys: list[str] = KEYS, lags: int = LAGS, weight=None) -> DataFrame:
+    """``keys, s``: the sums of ``(1, x) (1, x, y)`` over the windows, row by row.
 
-    Tasks add up one small matrix per key, Spark sums these entry by entry, and only the sums of a
-    key meet for the solve.
+    Tasks add up one small matrix per key, and Spark sums these entry by entry.
     """
     size = lags + 1
     rows = windows.select(*keys, "x", "y", (F.lit(1.0) if weight is None else weight).cast("double").alias("_w"))
@@ -118,16 +117,23 @@ def fit(windows: DataFrame, keys: list[str] = KEYS, lags: int = LAGS, weight=Non
         if sums:
             yield packed(sums)
 
-    totals = (
+    return (
         rows.mapInPandas(add_up, matrix)
-        .select(*keys, F.posexplode("s").alias("at", "part"))
-        .groupBy(*keys, "at")
-        .agg(F.sum("part").alias("part"))
+        .select(*keys, F.posexplode("s").alias("_place", "_part"))
+        .groupBy(*keys, "_place")
+        .agg(F.sum("_part").alias("_part"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("s"))
-        .select(*keys, F.col("s.part").alias("s"))
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "_part"))).alias("s"))
+        .select(*keys, F.col("s._part").alias("s"))
     )
-    out = StructType([*key_fields, StructField("beta", ArrayType(DoubleType()))])
+
+
+def fit(windows: DataFrame, keys: list[str] = KEYS, lags: int = LAGS, weight=None) -> DataFrame:
+    """Coefficients ``(intercept, b1 .. bL)`` per key from distributed normal equations; only the sums
+    of a key meet for the solve."""
+    size = lags + 1
+    totals = normal_sums(windows, keys, lags, weight)
+    out = StructType([*[totals.schema[k] for k in keys], StructField("beta", ArrayType(DoubleType()))])
 
     def solve(batches):
         for pdf in batches:

@@ -113,14 +113,18 @@ def readings(spark: SparkSession, sf_dir: str, keep: list[str] = []) -> DataFram
     )
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly means of the readings."""
+    return to_grid(readings(spark, sf_dir), "1 hour").withColumn("value", rounded("value"))
+
+
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense frame of hourly means, uncleaned.
 
     The means are written once: the frame numbers its rows and is read in several branches, and
     none of those should scan the events again.
     """
-    means = to_grid(readings(spark, sf_dir), "1 hour").withColumn("value", rounded("value"))
-    return densify(materialise(means))
+    return densify(materialise(grid(spark, sf_dir)))
 
 
 def clean_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

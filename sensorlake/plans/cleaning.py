@@ -42,18 +42,46 @@ def _(spark, d):
     return clean.flagged(frame(spark, d)).select("ts", *KEYS, "zscore", "is_outlier")
 
 
+# A frame with faults: M8's thermometer stands still for sixty rows, M10's CO2 sensor never answered.
+PLANTED = """planted AS (SELECT ts, pos, node, metric,
+  CASE WHEN node = 'M10' AND metric = 'CO2' THEN NULL
+    WHEN node = 'M8' AND metric = 'Temp' AND pos BETWEEN 100 AND 159 THEN 21.5
+    ELSE value END AS value FROM frame)"""
+PLANTED_FLAGGED = FLAGGED.replace(FRAME, f"{FRAME}, {PLANTED}").replace("  FROM frame\n  WINDOW", "  FROM planted\n  WINDOW")
+
+
+def planted(spark, d):
+    silent = (F.col("node") == "M10") & (F.col("metric") == "CO2")
+    still = (F.col("node") == "M8") & (F.col("metric") == "Temp") & F.col("pos").between(100, 159)
+    value = F.when(~silent, F.when(still, 21.5).otherwise(F.col("value")))
+    return frame(spark, d).withColumn("value", value)
+
+
 @query(
     "d02_quality_report",
-    f"""WITH {FLAGGED}
+    f"""WITH {PLANTED_FLAGGED}, {neighbours_sql("flagged", "kept")}, filled AS (
+      SELECT *, coalesce(kept, v0, v1) IS NOT NULL AS there FROM near)
     SELECT node, metric, count(*) AS n_rows, count(value) AS n_in,
       count(*) FILTER (WHERE is_flat) AS n_flat, count(*) FILTER (WHERE is_outlier) AS n_outlier,
       count(kept) AS n_kept, CAST(count(kept) = 0 AS INT) AS dropped,
-      CASE WHEN count(kept) = 0 THEN 0 ELSE count(*) - count(kept) END AS n_filled,
-      CAST(0 AS BIGINT) AS n_missing_after, CAST(count(*) >= 40 AS INT) AS enough_rows
-    FROM flagged GROUP BY node, metric""",
+      CASE WHEN count(kept) = 0 THEN 0 ELSE count(*) FILTER (WHERE there) - count(kept) END AS n_filled,
+      CASE WHEN count(kept) = 0 THEN 0 ELSE count(*) - count(*) FILTER (WHERE there) END
+        AS n_missing_after, CAST(count(*) >= 40 AS INT) AS enough_rows
+    FROM filled GROUP BY node, metric""",
+)
+def _(spark, d):
+    return clean.quality_report(planted(spark, d))
+
+
+@query(
+    "clean_gate_with_faults",
+    f"""WITH {PLANTED_FLAGGED}, {neighbours_sql("flagged", "kept")}
+    SELECT epoch_us(ts) AS ts_us, pos, node, metric,
+      round(coalesce(kept, v0 + (v1 - v0) / (p1 - p0) * (pos - p0), v0, v1), 6) AS value
+    FROM near WHERE coalesce(v0, v1) IS NOT NULL""",
 )
 def _(spark, d):
-    return clean.quality_report(frame(spark, d))
+    return clean.gated_clean(planted(spark, d))
 
 
 # Node M11 stands for a node whose humidity sensor never answered.

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from sensorlake import schema
 from sensorlake.functions.text import fixed_text
 from sensorlake.functions.times import MINUTE_US
-from sensorlake.operators import evaluate, forecast
+from sensorlake.operators import evaluate, forecast, kept_model, reconcile, series
 from sensorlake.operators.series import KEYS
-from sensorlake.plans.base import CLEAN, clean_frame, query, readings, rounded
-from sensorlake.session import materialise
+from sensorlake.plans.base import CLEAN, clean_frame, grid, query, readings, rounded
+from sensorlake.session import materialise, work_dir
 
 MEMBERS = 5
 
@@ -236,6 +236,53 @@ def _(spark, d):
     return evaluate.reconcile(log, readings(spark, d), TOLERANCE_US)
 
 
+@query(
+    "c01_reconcile_runs",
+    f"""WITH {NAIVE}, log AS (
+      SELECT ts AS issue_ts, ts + INTERVAL 70 MINUTE AS target_ts, node, metric, pred FROM naive
+      WHERE pred IS NOT NULL AND node <> 'M11'),
+    seen AS (SELECT ts, node, metric, value FROM grid WHERE value IS NOT NULL AND hour(ts) % 5 <> 2),
+    frame_times AS (SELECT DISTINCT ts FROM seen),
+    near_ts AS (
+      SELECT target_ts, arg_min(ts, (abs(epoch_us(ts) - epoch_us(target_ts)), -epoch_us(ts))) AS gt_ts
+      FROM (SELECT DISTINCT target_ts FROM log) t JOIN frame_times f
+        ON abs(epoch_us(ts) - epoch_us(target_ts)) <= 1800000000 GROUP BY target_ts),
+    valued AS (
+      SELECT l.*, n.gt_ts, r.value AS gt FROM log l LEFT JOIN near_ts n USING (target_ts)
+      LEFT JOIN seen r ON r.ts = n.gt_ts AND r.node = l.node AND r.metric = l.metric)
+    SELECT epoch_us(issue_ts) AS issue_ts_us, epoch_us(target_ts) AS target_ts_us, node, metric,
+      round(pred, 6) AS pred, epoch_us(gt_ts) AS gt_ts_us, round(gt, 6) AS gt,
+      CAST(gt IS NOT NULL AS INT) AS matched, round(gt - pred, 6) AS residual,
+      CAST(bool_and(gt IS NOT NULL) OVER (PARTITION BY issue_ts, target_ts) AS INT)
+        AS ground_truth_matched FROM valued""",
+)
+def _(spark, d):
+    """Three runs, each with the readings of its time only; some hours have no readings at all, and
+    some channels none in an hour. The tolerance is half the sampling step."""
+    rows = settled(spark, d)
+    log = materialise(
+        forecast.naive(rows).filter("node <> 'M11'").select(
+            F.col("ts").alias("issue_ts"),
+            (F.col("ts") + F.expr("INTERVAL 70 MINUTES")).alias("target_ts"),
+            *KEYS,
+            "pred",
+        )
+    )
+    seen = materialise(grid(spark, d).filter("value IS NOT NULL AND hour(ts) % 5 <> 2"))
+    step = rows.agg(series.sampling_step(rows).scalar()).first()[0]
+    state = reconcile.reconciled_log(spark, work_dir(spark))
+    ends = log.agg(F.min("issue_ts"), F.max("issue_ts")).first()
+    cuts = [ends[0] + (ends[1] - ends[0]) * k / 3 for k in (1, 2)]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        log_, seen_ = log, seen
+        if low is not None:
+            log_, seen_ = log_.filter(F.col("issue_ts") > F.lit(low)), seen_.filter(F.col("ts") > F.lit(low))
+        if high is not None:
+            log_, seen_ = log_.filter(F.col("issue_ts") <= F.lit(high)), seen_.filter(F.col("ts") <= F.lit(high))
+        reconcile.reconcile_run(state, log_, seen_, evaluate.tolerance_us(step))
+    return reconcile.reconciled(state).drop("settled", "abs_error")
+
+
 # --- models -------------------------------------------------------------------------------
 
 
@@ -373,3 +420,50 @@ def _(spark, d):
     if not forecast.must_retrain(fitted, rows):
         return rows.limit(0).drop("pos")
     return forecast.training_rows(rows).drop("pos")
+
+
+def stored(spark, d):
+    """A model store that was filled with the first two thirds of the frame and then extended."""
+    rows = settled(spark, d)
+    store = kept_model.model_store(spark, work_dir(spark))
+    last = rows.agg(F.max("pos")).first()[0]
+    kept_model.refresh(store, rows.filter(F.col("pos") <= last * 2 // 3))
+    kept_model.refresh(store, rows)
+    return store, rows
+
+
+@query(
+    "j07_kept_sums",
+    f"""WITH {DELTAS}, w AS (
+      SELECT *, count(delta) OVER l AS n, first_value(delta) OVER l AS x1,
+        last_value(delta) OVER l AS x20 FROM deltas
+      WINDOW l AS (PARTITION BY node, metric ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+    SELECT node, metric, round(avg(delta), 6) AS mu, round(stddev_pop(delta), 6) AS sigma,
+      count(*) FILTER (n = 20) AS n_windows, round(sum(delta) FILTER (n = 20), 4) AS sum_y,
+      round(sum(x1 * delta) FILTER (n = 20), 4) AS x1_y, round(sum(x20 * delta) FILTER (n = 20), 4) AS x20_y,
+      round(sum(x1 * x20) FILTER (n = 20), 4) AS x1_x20
+    FROM w GROUP BY node, metric""",
+)
+def _(spark, d):
+    sums = kept_model.totals(stored(spark, d)[0])
+    mu, wide = F.col("s_delta") / F.col("n_delta"), forecast.LAGS + 2
+
+    def product(i, j):
+        return F.round(F.col("products")[i * wide + j] + 3.1e-6, 4)
+
+    return sums.select(
+        *KEYS,
+        mu.alias("mu"),
+        F.sqrt(F.col("q_delta") / F.col("n_delta") - mu * mu).alias("sigma"),
+        "n_windows",
+        product(0, wide - 1).alias("sum_y"),
+        product(1, wide - 1).alias("x1_y"),
+        product(wide - 2, wide - 1).alias("x20_y"),
+        product(1, wide - 2).alias("x1_x20"),
+    )
+
+
+@query("j07_stored_prediction")
+def _(spark, d):
+    store, rows = stored(spark, d)
+    return kept_model.predict_kept(rows, kept_model.kept_model(store))

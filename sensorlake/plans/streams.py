@@ -91,6 +91,18 @@ def _(spark, d):
     return drained(spark, windows.windowed_means(live_readings(spark, d)))[0]
 
 
+@query(
+    "h06_stream_amended_means",
+    f"""WITH {READINGS}
+    SELECT epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) AS ts_us, node, metric,
+      round(avg(value), 6) AS value, count(value) AS n FROM readings GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    table = work_dir(spark)
+    windows.amend_means(live_readings(spark, d), table, work_dir(spark)).awaitTermination()
+    return windows.means_table(spark, table).read()
+
+
 @query(
     "h06_stream_hourly_snapshots",
     f"""WITH {READINGS}, known AS (SELECT * FROM readings WHERE value IS NOT NULL), last AS (

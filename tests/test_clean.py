@@ -133,3 +133,14 @@ def test_last_source_row_wins(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, "x")], "k int, o int, v string")
     got = {r.k: r.v for r in clean.latest_per_timestamp(df, ["k"], "o").collect()}
     assert got == {1: "c", 2: "x"}
+
+
+def test_the_gate_stops_or_cleans(spark):
+    for values in ([1.0, 2.0] * 5, [None] * 50, []):
+        frame = make_frame(spark, {T: values})
+        with pytest.raises(clean.DataQualityError):
+            clean.gated_clean(frame)
+    frame = make_frame(spark, {T: [*noisy(60), None], ("M4", "CO2"): [None] * 61})
+    got = clean.gated_clean(frame)
+    assert sorted(got.collect()) == sorted(clean.clean(frame).collect())
+    assert got.select("node").distinct().count() == 1
