@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 # Module and feature names, true words. Missing-value words (unknown, Unknown, nan,
@@ -20,18 +18,8 @@ def _module_pattern(strict: bool) -> str:
     return MODULE_PATTERN + ("(?![0-9])" if strict else "")
 
 
-def channel_name(raw: str, strict: bool = True) -> str | None:
-    """Canonical ``M<node>_<Metric>`` of a column heading, or None."""
-    token = re.sub(r"[^A-Za-z0-9]", "", str(raw).upper())
-    module = re.search(_module_pattern(strict), token)
-    feature = re.search(FEATURE_PATTERN, token)
-    if module is None or feature is None:
-        return None
-    return f"{module.group(0)}_{FEATURE_NAMES[feature.group(0)]}"
-
-
 def channel_name_col(raw: Column, strict: bool = True) -> Column:
-    """The same rule over a column of headings (long data)."""
+    """Canonical ``M<node>_<Metric>`` of a column of headings, null where a heading names no channel."""
     token = F.regexp_replace(F.upper(raw), "[^A-Za-z0-9]", "")
     module = F.regexp_extract(token, _module_pattern(strict), 0)
     feature = F.regexp_extract(token, FEATURE_PATTERN, 0)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorlake.operators.blocks import BLOCK_ROWS, rows_frame
 from sensorlake.operators.quantile import exact_quantile
-from sensorlake.schema import CHANNELS
 
 KEYS = ["node", "metric"]
 WINDOW_ROWS = 20
@@ -25,42 +24,53 @@ def standardised(frame: DataFrame, scaler: DataFrame) -> DataFrame:
     return frame.join(scaler, KEYS).withColumn("z", (F.col("value") - F.col("mu")) / F.col("sigma"))
 
 
-def standardised_rows(frame, scaler, channels=CHANNELS) -> DataFrame:
-    """One array per timestamp in channel order; a missing channel sits at its mean, zero."""
-    name = F.concat_ws("_", "node", "metric")
-    packed = standardised(frame, scaler).groupBy("ts", "pos").agg(
-        F.map_from_entries(F.collect_list(F.struct(name, F.col("z")))).alias("_z")
-    )
-    cells = [F.coalesce(F.try_element_at("_z", F.lit(f"{n}_{m}")), F.lit(0.0)) for n, m in channels]
-    return packed.select("ts", "pos", F.array(*cells).alias("z"))
+def channel_places(scaler: DataFrame) -> DataFrame:
+    """``node, metric, place`` of the channels that the data have, whatever these are, from 0."""
+    order = Window.orderBy(*KEYS)  # one row per sensor
+    return scaler.select(*KEYS).withColumn("place", F.row_number().over(order) - 1)
 
 
-def fit_reconstruction(rows: DataFrame, components: int = 3) -> list[list[float]]:
-    """Projection onto the leading principal components, one row per channel."""
-    model = PCA(k=components, inputCol="v", outputCol="p").fit(
-        rows.select(array_to_vector("z").alias("v"))
-    )
-    pc = model.pc.toArray()
-    return (pc @ pc.T).tolist()
-
-
-def reconstruction_errors(rows: DataFrame, projection, channels=CHANNELS) -> DataFrame:
-    """Squared error per timestamp and channel."""
-    matrix = F.array(*[F.array(*[F.lit(v) for v in row]) for row in projection])
-    rebuilt = F.transform(
-        matrix,
-        lambda row: F.aggregate(
-            F.zip_with(row, F.col("z"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-        ),
-    )
-    names = F.array(
-        *[F.struct(F.lit(n).alias("node"), F.lit(m).alias("metric")) for n, m in channels]
+def standardised_rows(frame: DataFrame, scaler: DataFrame) -> DataFrame:
+    """One array per timestamp in order of ``channel_places``; a missing channel sits at its mean, zero."""
+    places = channel_places(scaler)
+    n = places.count()
+    cells = standardised(frame, scaler).join(places, KEYS).filter("z IS NOT NULL")
+    packed = cells.groupBy("ts", "pos").agg(F.map_from_entries(F.collect_list(F.struct("place", "z"))).alias("_z"))
+    line = F.sequence(F.lit(0), F.lit(max(n - 1, 0)))
+    filled = F.transform(line, lambda i: F.coalesce(F.try_element_at("_z", i), F.lit(0.0)))
+    return packed.select("ts", "pos", filled.alias("z"))
+
+
+def fit_reconstruction(frame: DataFrame, scaler: DataFrame, components: int = 3) -> DataFrame:
+    """``node, metric, loadings``: what each channel has in the leading principal components. A table,
+    one row per channel, that can be stored and used again."""
+    rows = standardised_rows(frame, scaler).select(array_to_vector("z").alias("v"))
+    places = channel_places(scaler).orderBy("place").collect()
+    if not places:
+        raise ValueError("no channel to fit")
+    pc = PCA(k=min(components, len(places)), inputCol="v", outputCol="p").fit(rows).pc.toArray()
+    found = [(r["node"], r["metric"], [float(x) for x in line]) for r, line in zip(places, pc)]
+    return frame.sparkSession.createDataFrame(found, "node string, metric string, loadings array<double>")
+
+
+def reconstruction_errors(frame: DataFrame, scaler: DataFrame, loadings: DataFrame) -> DataFrame:
+    """Squared error per timestamp and channel of rebuilding a row from its components.
+
+    Long form throughout: a timestamp's components are sums over its channels. Channels without
+    loadings add nothing to them and are rebuilt as zero.
+    """
+    cells = standardised(frame, scaler).join(loadings, KEYS, "left").select(
+        "ts", "pos", *KEYS, F.coalesce("z", F.lit(0.0)).alias("z"), "loadings"
     )
-    errors = F.zip_with("z", rebuilt, lambda a, b: (a - b) * (a - b))
-    zipped = F.arrays_zip(names.alias("channel"), errors.alias("err"))
-    return rows.select("ts", "pos", F.explode(zipped).alias("_e")).select(
-        "ts", "pos", "_e.channel.node", "_e.channel.metric", F.col("_e.err").alias("err")
+    parts = cells.select("ts", F.posexplode("loadings").alias("k", "w"), "z")
+    sums = parts.groupBy("ts", "k").agg(F.sum(F.col("w") * F.col("z")).alias("part"))
+    components = sums.groupBy("ts").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]).alias("parts")
     )
+    products = F.zip_with("loadings", "parts", lambda a, b: a * b)
+    rebuilt = F.coalesce(F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v), F.lit(0.0))
+    error = F.col("z") - rebuilt
+    return cells.join(components, "ts", "left").select("ts", "pos", *KEYS, (error * error).alias("err"))
 
 
 def mean_errors(frame: DataFrame, scaler: DataFrame) -> DataFrame:

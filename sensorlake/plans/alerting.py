@@ -233,10 +233,10 @@ def _(spark, d):
 @query("j04_reconstruction_anomaly")
 def _(spark, d):
     rows = materialise(clean_frame(spark, d))
-    packed = anomaly.standardised_rows(rows, anomaly.channel_scaler(rows))
-    projection = anomaly.fit_reconstruction(packed)
+    scaler = anomaly.channel_scaler(rows)
+    loadings = anomaly.fit_reconstruction(rows, scaler)
     windowed = materialise(
-        anomaly.window_errors(anomaly.reconstruction_errors(packed, projection))
+        anomaly.window_errors(anomaly.reconstruction_errors(rows, scaler, loadings))
     )
     top = (
         anomaly.top_contributors(windowed)
@@ -246,3 +246,28 @@ def _(spark, d):
         .toDF("ts", "top1", "top2", "top3")
     )
     return anomaly.score(windowed).join(top, "ts")
+
+
+# With one component that weighs all channels alike, a row is rebuilt as its mean.
+@query(
+    "j04_anomaly_given_loadings",
+    f"""WITH {CLEAN}, spread AS (
+      SELECT node, metric, avg(value) AS mu,
+        CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END AS sigma
+      FROM cleaned GROUP BY node, metric),
+    z AS (SELECT ts, pos, node, metric, (value - mu) / sigma AS z FROM cleaned JOIN spread USING (node, metric)),
+    errors AS (SELECT *, (z - avg(z) OVER (PARTITION BY ts)) ** 2 AS err FROM z),
+    windowed AS (
+      SELECT * FROM (SELECT *, avg(err) OVER (PARTITION BY node, metric ORDER BY pos
+        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS window_err FROM errors) WHERE pos >= 19),
+    scores AS (SELECT ts, avg(window_err) AS score FROM windowed GROUP BY ts),
+    bound AS (SELECT 1.2 * quantile_cont(score, 0.5) AS threshold FROM scores)
+    SELECT epoch_us(ts) AS ts_us, round(score, 6) AS score, round(threshold, 6) AS threshold,
+      CAST(score > threshold AS INT) AS is_anomaly FROM scores, bound""",
+)
+def _(spark, d):
+    rows = materialise(clean_frame(spark, d))
+    scaler = anomaly.channel_scaler(rows)
+    even = F.array(F.lit(1.0) / F.sqrt(F.lit(scaler.count())))
+    errors = anomaly.reconstruction_errors(rows, scaler, scaler.select(*KEYS, even.alias("loadings")))
+    return anomaly.score(materialise(anomaly.window_errors(errors)), factor=1.2)

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sensorlake.functions.text import channel_name, to_number
+from sensorlake.functions.text import channel_name_col, to_number
 from sensorlake.operators.clean import latest_per_timestamp
 
 # Words that mark a time column.
 TIME_WORDS = ["timestamp", "datetime", "date", "time", "created", "thoigian"]
+#: Fixed value: the fleet's zone.
+LOCAL_ZONE = "Asia/Bangkok"
+TIME_FORMATS = [
+    "M/d/yyyy[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy[ H:mm[:ss]]",
+    "d/M/yyyy[ H:mm[:ss]]", "M.d.yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]",
+    "MMMM d, yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]]", "d MMMM yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]",
+]
 
 
 class SourceError(RuntimeError):
@@ -23,17 +30,30 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def parse_time(text: Column) -> Column:
-    """Lenient zone-less timestamp; null when the text is none."""
+def parse_time(text: Column, zone: str = LOCAL_ZONE) -> Column:
+    """Lenient zone-less timestamp in the fleet's local time; null when the text is none.
+
+    A text with an offset or ``Z``, and whole seconds or milliseconds since 1970, name an instant, which
+    is given as its label in ``zone``. Any other text is a local label already. Month comes before day
+    where both are possible. The session zone must be UTC.
+    """
     trimmed = F.trim(text)
-    # Month before day where both are possible.
-    formats = [
-        "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
-        "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy H:mm",
-        "d-MMM-yyyy", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy",
-    ]
-    parsed = [F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(trimmed.try_cast("timestamp_ntz"), *parsed)
+    parsed = [F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS]
+    label = F.coalesce(trimmed.try_cast("timestamp_ntz"), *parsed)
+    digits = trimmed.try_cast("bigint")
+    instant = (
+        F.when(trimmed.rlike(r"^[0-9]{9,10}$"), F.timestamp_seconds(digits))
+        .when(trimmed.rlike(r"^[0-9]{12,13}$"), F.timestamp_millis(digits))
+        .when(trimmed.rlike(r":[0-9]{2}(\.[0-9]+)? ?(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})$"), _zoned(trimmed))
+    )
+    epoch_or_zoned = trimmed.rlike(r"^[0-9]{9,13}$") | trimmed.rlike(r":[0-9]{2}(\.[0-9]+)? ?(Z|UTC|GMT|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    return F.when(epoch_or_zoned, F.from_utc_timestamp(instant, zone).cast("timestamp_ntz")).otherwise(label)
+
+
+def _zoned(text: Column) -> Column:
+    # Offsets as the cast takes them: +0700 as +07:00, no blank before.
+    spelled = F.regexp_replace(F.regexp_replace(text, " ?(Z|UTC|GMT)$", "Z"), " ?([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+    return F.regexp_replace(spelled, " ?([+-][0-9]{2})$", "$1:00").try_cast("timestamp")
 
 
 def time_candidates(df: DataFrame) -> list[str]:
@@ -67,18 +87,18 @@ def drop_bad_times(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("ts", parse_time(F.col(f"`{column}`"))).filter(F.col("ts").isNotNull())
 
 
-def channel_columns(columns: list[str], strict: bool = True) -> dict[str, str]:
+def channel_columns(spark: SparkSession, columns: list[str], strict: bool = True) -> dict[str, str]:
     """Canonical channel -> source column; the first of several spellings, unknown ones dropped."""
-    chosen: dict[str, str] = {}
-    for column in columns:
-        name = channel_name(column, strict)
-        if name is not None:
-            chosen.setdefault(name, column)
-    return chosen
+    if not columns:
+        return {}
+    headings = spark.createDataFrame(list(enumerate(columns)), "at int, heading string")
+    named = headings.withColumn("name", channel_name_col(F.col("heading"), strict)).filter("name IS NOT NULL")
+    first = named.groupBy("name").agg(F.min(F.struct("at", "heading")).alias("first")).orderBy("first.at")
+    return {row["name"]: row["first"]["heading"] for row in first.collect()}
 
 
 def select_channels(df: DataFrame, strict: bool = True, keep: list[str] = ["ts"]) -> DataFrame:
-    chosen = channel_columns([c for c in df.columns if c not in keep], strict)
+    chosen = channel_columns(df.sparkSession, [c for c in df.columns if c not in keep], strict)
     if not chosen:
         raise SourceError("No sensor channel found.")
     return df.select(*keep, *[F.col(f"`{source}`").alias(name) for name, source in chosen.items()])

@@ -144,15 +144,19 @@ def test_intervals_and_histogram(spark):
 def test_reconstruction_finds_the_broken_channel(spark):
     rng = random.Random(9)
     base = [rng.gauss(0, 1) for _ in range(120)]
-    names = [("M1", "Temp"), ("M4", "Temp"), ("M6", "Temp"), ("M7", "Temp")]
+    # Channels beyond the fleet's list count like any other.
+    names = [("M1", "Temp"), ("M4", "Temp"), ("M6", "Temp"), ("Z9", "Dust")]
     series = {n: [b * k + rng.gauss(0, 0.05) for b in base] for n, k in zip(names, (1, 2, -1, 3))}
     series[names[2]][80:] = [9.0 + rng.gauss(0, 0.05) for _ in range(40)]
     frame = make_frame(spark, series)
-    packed = anomaly.standardised_rows(frame, anomaly.channel_scaler(frame), names).cache()
-    projection = anomaly.fit_reconstruction(packed, 1)
-    z = np.array([r.z for r in packed.orderBy("pos").collect()])
-    p = np.array(projection)
-    errors = anomaly.reconstruction_errors(packed, projection, names).cache()
+    scaler = anomaly.channel_scaler(frame)
+    loadings = anomaly.fit_reconstruction(frame, scaler, 1)
+    z = np.array([r.z for r in anomaly.standardised_rows(frame, scaler).orderBy("pos").collect()])
+    w = np.array([r.loadings for r in loadings.orderBy("node").collect()])
+    _, _, axes = np.linalg.svd(z - z.mean(axis=0))
+    assert abs(abs(axes[0] @ w[:, 0]) - 1) < 1e-9
+    p = w @ w.T
+    errors = anomaly.reconstruction_errors(frame, scaler, loadings).cache()
     got = np.array([r.err for r in errors.orderBy("pos", "node").collect()]).reshape(120, 4)
     np.testing.assert_allclose(got, (z - z @ p) ** 2, atol=1e-9)
     windowed = anomaly.window_errors(errors)

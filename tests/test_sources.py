@@ -1,9 +1,10 @@
+import datetime as dt
 import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
 from sensorlake import schema
-from sensorlake.functions.text import channel_name, channel_name_col, fixed_text, short_hash, to_bool, to_number
+from sensorlake.functions.text import channel_name_col, fixed_text, short_hash, to_bool, to_number
 from sensorlake.sources import prediction_log, readings, tables, telemetry, weather
 
 NAMES = {
@@ -25,9 +26,25 @@ def column(spark, values, expr):
 
 
 def test_channel_names_agree(spark):
-    assert [channel_name(n) for n in NAMES] == list(NAMES.values())
     assert column(spark, NAMES, channel_name_col) == list(NAMES.values())
-    assert channel_name("M12 Temp", strict=False) == "M1_Temp"
+    assert column(spark, ["M12 Temp"], lambda c: channel_name_col(c, strict=False)) == ["M1_Temp"]
+    found = readings.channel_columns(spark, ["Battery", "m4 co2", "M1 Temp", "M4_CO2"])
+    assert list(found.items()) == [("M4_CO2", "m4 co2"), ("M1_Temp", "M1 Temp")]
+    assert readings.channel_columns(spark, []) == {}
+
+
+def test_times_with_offsets_epochs_and_words(spark):
+    local = dt.datetime(2024, 3, 1, 7, 30)
+    same = [
+        "2024-03-01 07:30:00", "2024-03-01T07:30:00+07:00", "2024-03-01T00:30:00Z", "2024-03-01 00:30:00 UTC",
+        "2024-02-29T19:30:00-0500", "2024-03-01 00:30:00+00", "1709253000", "1709253000000", "Mar 1, 2024 7:30",
+        "March 1, 2024 07:30:00", "1 Mar 2024 7:30", "3/1/2024 7:30", "3.1.2024 07:30", "3/1/2024 7:30 AM", " 2024/3/1 7:30 ",
+    ]
+    assert column(spark, same, readings.parse_time) == [local] * len(same)
+    days = ["2024-03-01", "Mar 1, 2024", "3.1.2024", "31.12.2023", "31/12/2023", "12", "tomorrow", "", None, "99999999999999"]
+    got = column(spark, days, readings.parse_time)
+    assert got[:5] == [dt.datetime(2024, 3, 1)] * 3 + [dt.datetime(2023, 12, 31)] * 2
+    assert got[6:] == [None] * 4
 
 
 def test_numbers(spark):
