@@ -54,32 +54,36 @@ def item_words(text: str | None) -> np.ndarray:
 def align(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, int, int, int]:
     """Best local alignment of two word sequences: score, equal words, first and last doc word.
 
-    One row of the score table at a time (rows are document words). Gaps along the item are resolved
-    by a running maximum, since a gap costs the same for every word.
+    One row of the score table at a time (rows are document words), in memory of a few numbers for each
+    item word: every cell carries where its alignment began and how many words were equal, so there is
+    no way back through a table. Gaps along the item are resolved by a running maximum, since a gap
+    costs the same for every word. Of equally good ways a step along both comes before one along the
+    document, and that before one along the item; of equal alignments the one that ends first stays.
     """
     n = len(item)
-    steps = np.arange(n + 1) * s.gap
-    above = np.zeros(n + 1, np.int64)
-    score = np.zeros((len(doc) + 1, n + 1), np.int64)
-    same = doc[:, None] == item[None, :]
-    gain = np.where(same, s.match, s.mismatch)
-    for i in range(len(doc)):
-        row = np.zeros(n + 1, np.int64)
-        np.maximum(above[:-1] + gain[i], above[1:] + s.gap, out=row[1:])
-        np.maximum(row, 0, out=row)
-        above = np.maximum(np.maximum.accumulate(row - steps) + steps, 0)
-        score[i + 1] = above
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    best, last, equal = int(score[i, j]), i - 1, 0
-    while i > 0 and j > 0 and score[i, j] > 0:
-        if score[i, j] == score[i - 1, j - 1] + gain[i - 1, j - 1]:
-            equal += int(same[i - 1, j - 1])
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + s.gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, equal, i, last
+    steps, places = np.arange(n + 1) * s.gap, np.arange(n + 1)
+    score, begin, equal = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    best = (0, 0, 0, -1)
+    for i, word in enumerate(doc):
+        same = item == word
+        both, down = score[:-1] + np.where(same, s.match, s.mismatch), score[1:] + s.gap
+        along = both >= down
+        row, first, hits = np.zeros(n + 1, np.int64), np.full(n + 1, i + 1, np.int64), np.zeros(n + 1, np.int64)
+        np.maximum(both, down, out=row[1:])
+        first[1:] = np.where(along, begin[:-1], begin[1:])
+        hits[1:] = np.where(along, equal[:-1] + same, equal[1:])
+        gone = row <= 0
+        row[gone], first[gone], hits[gone] = 0, i + 1, 0
+        # The last place up to each cell from which gaps along the item lead to most.
+        lifted = row - steps
+        top = np.maximum.accumulate(lifted)
+        source = np.maximum.accumulate(np.where(lifted == top, places, 0))
+        score, begin, equal = np.maximum(top + steps, 0), first[source], hits[source]
+        begin[score == 0], equal[score == 0] = i + 1, 0
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(equal[j]), int(begin[j]), i)
+    return best
 
 
 class Items:
