@@ -34,6 +34,7 @@ ROWS_ONLY = {
     "j03_history_with_uncertainty",
     "j04_reconstruction_anomaly",
     "j05_forecast_snapshot",
+    "j07_stored_prediction",
 }
 
 
