@@ -38,9 +38,10 @@ def to_bool(raw: Column) -> Column:
 
 
 def fixed_text(value: Column, decimals: int = 2) -> Column:
-    """Fixed decimals without grouping, rounding the exact binary value."""
+    """Fixed decimals without grouping. Six decimals are taken first, so that sums that differ in their
+    last bit have one text; then the exact binary value is rounded."""
     pattern = "0." + "0" * decimals if decimals else "0"
-    return F.call_function("format_number", value, F.lit(pattern))
+    return F.call_function("format_number", F.round(value, 6), F.lit(pattern))
 
 
 def short_hash(text: Column) -> Column:

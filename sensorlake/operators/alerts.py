@@ -201,8 +201,8 @@ def notification_batches(
     return most_severe(rows, ["batch_start", "kind", *KEYS])
 
 
-def resolved(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Channels that were in breach before and are no longer."""
-    return previous.select(*KEYS).distinct().join(
-        current.select(*KEYS).distinct(), KEYS, "left_anti"
+def resolved(previous: DataFrame, current: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Channels that were in breach before and are no longer; ``keys`` may hold a time as well."""
+    return previous.select(*keys).distinct().join(
+        current.select(*keys).distinct(), keys, "left_anti"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sensorlake.functions.times import floor_to
+from sensorlake.functions.times import SECOND_US, floor_to, micros
 from sensorlake.operators.blocks import (
     BLOCK,
     BLOCK_ROWS,
@@ -32,6 +32,18 @@ def to_grid(readings: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
+def reading_gap_us(readings: DataFrame) -> int:
+    """Mean distance of a channel's readings in whole seconds, as microseconds; a second at least."""
+    at = micros("ts")
+    row = readings.agg(
+        F.coalesce(F.max(at) - F.min(at), F.lit(0)).alias("span"),
+        F.count_distinct(*KEYS).alias("channels"),
+        F.count(F.lit(1)).alias("rows"),
+    ).first()
+    gap = row["span"] // SECOND_US * row["channels"] // max(1, row["rows"])
+    return max(1, gap) * SECOND_US
+
+
 def latest_per_timestamp(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one with the greatest ``order``; combines before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
@@ -296,11 +308,12 @@ def _report(filled: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def row_gate(frame: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row: timestamps in the frame and whether they suffice."""
+def row_gate(frame: DataFrame, min_rows: int = MIN_ROWS, by: list[str] = []) -> DataFrame:
+    """Timestamps in the frame and whether they suffice: one row, or one for each group of ``by``."""
     return (
-        frame.select("ts")
+        frame.select(*by, "ts")
         .distinct()
+        .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("enough_rows", F.col("n_rows") >= min_rows)
     )

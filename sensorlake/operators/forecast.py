@@ -172,7 +172,8 @@ def snapshot(predictions: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def module_payloads(forecasts: DataFrame) -> DataFrame:
-    """One row per node, in text order of the node: maps and feature list of its metrics."""
+    """One row per node and forecast, in text order of the node: maps and feature list of its metrics.
+    The times stand in the order as well, so that the sort has more ranges than nodes."""
 
     def mapped(column):
         entries = F.array_sort(F.collect_list(F.struct("metric", column)))
@@ -184,7 +185,7 @@ def module_payloads(forecasts: DataFrame) -> DataFrame:
     return (
         forecasts.groupBy("node", "issue_ts", "target_ts")
         .agg(mapped("current"), mapped("predicted"), mapped("delta"), features.alias("features"))
-        .orderBy("node")
+        .orderBy("node", "issue_ts", "target_ts")
     )
 
 

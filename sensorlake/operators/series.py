@@ -215,23 +215,18 @@ def resample_smoothed(readings: DataFrame, width: str = "30 minutes", **options)
 def day_frames(readings: DataFrame, width_us: int = 30 * MINUTE_US) -> DataFrame:
     """Mean per local day and half hour, with the empty half hours between the first and last.
 
-    A channel's means of a day form one map, at most a day's steps long; the spine is generated
-    from it, so the readings are scanned and shuffled once.
+    A channel's means of a day form one map, at most a day's steps long, and the spine is generated
+    beside it. A day's first and last step combine before their shuffle: one row a day, joined by size.
     """
     step = F.floor(micros("ts") / width_us).cast("bigint")
     means = readings.groupBy(F.to_date("ts").alias("day"), *KEYS, step.alias("step")).agg(
         F.avg("value").alias("value")
     )
-    whole_day = Window.partitionBy("day")
+    ends = means.groupBy("day").agg(F.min("step").alias("_first"), F.max("step").alias("_last"))
     return (
         means.groupBy("day", *KEYS)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("_means"),
-            F.min("step").alias("_first"),
-            F.max("step").alias("_last"),
-        )
-        .withColumn("_first", F.min("_first").over(whole_day))
-        .withColumn("_last", F.max("_last").over(whole_day))
+        .agg(F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("_means"))
+        .join(ends, "day")
         .withColumn("step", F.explode(F.sequence("_first", "_last")))
         .select(
             "day",

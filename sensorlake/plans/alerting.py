@@ -99,7 +99,7 @@ def _(spark, d):
     found = alerts.breaches(readings(spark, d), schema.thresholds(spark))
     hourly = found.select(F.window("ts", "1 hour")["start"].alias("hour"), *KEYS).distinct()
     before = hourly.withColumn("hour", F.col("hour") + F.expr("INTERVAL 1 HOUR"))
-    return before.join(hourly, ["hour", *KEYS], "left_anti")
+    return alerts.resolved(before, hourly, ["hour", *KEYS])
 
 
 @query(

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from sensorlake import schema
-from sensorlake.functions.times import micros
-from sensorlake.operators.clean import clean, densify, to_grid
+from sensorlake.functions.times import HOUR_US, micros
+from sensorlake.operators.clean import clean, densify, reading_gap_us, to_grid
 from sensorlake.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,12 +114,16 @@ def readings(spark: SparkSession, sf_dir: str, keep: list[str] = []) -> DataFram
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means of the readings."""
-    return to_grid(readings(spark, sf_dir), "1 hour").withColumn("value", rounded("value"))
+    """Means of the readings per step: an hour, or less where a channel has several readings an hour.
+
+    The step is the mean distance of a channel's readings, so the grid grows with the readings.
+    """
+    rows = readings(spark, sf_dir)
+    return to_grid(rows, f"{min(HOUR_US, reading_gap_us(rows))} microseconds")
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense frame of hourly means, uncleaned.
+    """The dense frame of the means per step, uncleaned.
 
     The means are written once: the frame numbers its rows and is read in several branches, and
     none of those should scan the events again.
@@ -141,9 +145,12 @@ NODES = f"nodes AS ({schema.NODES_SQL})"
 METRICS = f"metrics AS ({schema.METRICS_SQL})"
 THRESHOLDS = f"thresholds AS ({schema.THRESHOLDS_SQL})"
 
-GRID = f"""{READINGS}, grid AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, node, metric, round(avg(value), 6) AS value
-  FROM readings GROUP BY 1, 2, 3)"""
+GRID = f"""{READINGS}, step AS (
+  SELECT least(3600, greatest(1, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000
+    * count(DISTINCT (node, metric)) // count(*))) * 1000000 AS us FROM readings),
+grid AS (
+  SELECT make_timestamp(epoch_us(ts) // us * us) AS ts, node, metric, avg(value) AS value
+  FROM readings, step GROUP BY 1, 2, 3)"""
 
 FRAME = f"""{GRID}, {NODES}, {METRICS}, times AS (
   SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM (SELECT DISTINCT ts FROM grid)),

@@ -1,4 +1,4 @@
-"""The cleaning gate, step by step, on the hourly frame."""
+"""The cleaning gate, step by step, on the frame of means."""
 
 from __future__ import annotations
 
@@ -20,14 +20,29 @@ from sensorlake.plans.base import (
 )
 
 
+# A frame with faults: M8's thermometer stands still for sixty rows, M10's CO2 sensor never answered.
+PLANTED = """planted AS (SELECT ts, pos, node, metric,
+  CASE WHEN node = 'M10' AND metric = 'CO2' THEN NULL
+    WHEN node = 'M8' AND metric = 'Temp' AND pos BETWEEN 100 AND 159 THEN 21.5
+    ELSE value END AS value FROM frame)"""
+PLANTED_FLAGGED = FLAGGED.replace(FRAME, f"{FRAME}, {PLANTED}").replace("  FROM frame\n  WINDOW", "  FROM planted\n  WINDOW")
+
+
+def planted(spark, d):
+    silent = (F.col("node") == "M10") & (F.col("metric") == "CO2")
+    still = (F.col("node") == "M8") & (F.col("metric") == "Temp") & F.col("pos").between(100, 159)
+    value = F.when(~silent, F.when(still, 21.5).otherwise(F.col("value")))
+    return frame(spark, d).withColumn("value", value)
+
+
 @query(
     "e01_flatline_mask",
-    f"""WITH {FLAGGED}
+    f"""WITH {PLANTED_FLAGGED}
     SELECT epoch_us(ts) AS ts_us, node, metric, roll_n, round(roll_var, 3) AS roll_var,
       CAST(is_flat AS INT) AS is_flat FROM unflat""",
 )
 def _(spark, d):
-    return clean.flatlines(frame(spark, d)).select(
+    return clean.flatlines(planted(spark, d)).select(
         "ts", *KEYS, "roll_n", rounded("roll_var", 3).alias("roll_var"), "is_flat"
     )
 
@@ -42,21 +57,6 @@ def _(spark, d):
     return clean.flagged(frame(spark, d)).select("ts", *KEYS, "zscore", "is_outlier")
 
 
-# A frame with faults: M8's thermometer stands still for sixty rows, M10's CO2 sensor never answered.
-PLANTED = """planted AS (SELECT ts, pos, node, metric,
-  CASE WHEN node = 'M10' AND metric = 'CO2' THEN NULL
-    WHEN node = 'M8' AND metric = 'Temp' AND pos BETWEEN 100 AND 159 THEN 21.5
-    ELSE value END AS value FROM frame)"""
-PLANTED_FLAGGED = FLAGGED.replace(FRAME, f"{FRAME}, {PLANTED}").replace("  FROM frame\n  WINDOW", "  FROM planted\n  WINDOW")
-
-
-def planted(spark, d):
-    silent = (F.col("node") == "M10") & (F.col("metric") == "CO2")
-    still = (F.col("node") == "M8") & (F.col("metric") == "Temp") & F.col("pos").between(100, 159)
-    value = F.when(~silent, F.when(still, 21.5).otherwise(F.col("value")))
-    return frame(spark, d).withColumn("value", value)
-
-
 @query(
     "d02_quality_report",
     f"""WITH {PLANTED_FLAGGED}, {neighbours_sql("flagged", "kept")}, filled AS (
@@ -112,6 +112,19 @@ def _(spark, d):
     return clean.row_gate(readings(spark, d))
 
 
+@query(
+    "d04_minimum_rows_by_export",
+    f"""WITH {READINGS}
+    SELECT CAST(ts AS DATE)::VARCHAR AS day, node, count(DISTINCT ts) AS n_rows,
+      CAST(count(DISTINCT ts) >= 40 AS INT) AS enough_rows
+    FROM readings GROUP BY ALL""",
+)
+def _(spark, d):
+    """An export for each node and day, some of them too short."""
+    exported = readings(spark, d).withColumn("day", F.to_date("ts"))
+    return clean.row_gate(exported, by=["day", "node"])
+
+
 @query(
     "e02_linear_interpolation",
     f"""WITH {FRAME}, {neighbours_sql("frame", "value")}

@@ -183,15 +183,14 @@ def _(spark, d):
 
 @query(
     "d12_residual_histogram",
-    f"""WITH {ENSEMBLE}, r AS (SELECT * REPLACE (round(residual, 6) AS residual) FROM evaluation),
+    f"""WITH {ENSEMBLE}, r AS (SELECT * FROM evaluation),
     ends AS (SELECT node, metric, min(residual) AS lo, max(residual) AS hi FROM r GROUP BY 1, 2)
     SELECT node, metric, round(lo, 6) AS lo, round(hi, 6) AS hi, CAST(CASE WHEN lo = hi THEN 1 ELSE
       least(floor((residual - lo) / (hi - lo) * 40) + 1, 40) END AS INT) AS bin, count(*) AS n
     FROM r JOIN ends USING (node, metric) GROUP BY ALL""",
 )
 def _(spark, d):
-    rows = evaluation(spark, d).withColumn("residual", rounded("residual"))
-    return evaluate.residual_histogram(rows)
+    return evaluate.residual_histogram(evaluation(spark, d))
 
 
 # --- the log against later readings ------------------------------------------------------
@@ -243,10 +242,13 @@ def _(spark, d):
       WHERE pred IS NOT NULL AND node <> 'M11'),
     seen AS (SELECT ts, node, metric, value FROM grid WHERE value IS NOT NULL AND hour(ts) % 5 <> 2),
     frame_times AS (SELECT DISTINCT ts FROM seen),
+    hops AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM times),
     near_ts AS (
       SELECT target_ts, arg_min(ts, (abs(epoch_us(ts) - epoch_us(target_ts)), -epoch_us(ts))) AS gt_ts
       FROM (SELECT DISTINCT target_ts FROM log) t JOIN frame_times f
-        ON abs(epoch_us(ts) - epoch_us(target_ts)) <= 1800000000 GROUP BY target_ts),
+        ON abs(epoch_us(ts) - epoch_us(target_ts)) <= (SELECT greatest(60000000,
+          CAST(floor(quantile_cont(gap, 0.5) / 2) AS BIGINT)) FROM hops WHERE gap > 0)
+      GROUP BY target_ts),
     valued AS (
       SELECT l.*, n.gt_ts, r.value AS gt FROM log l LEFT JOIN near_ts n USING (target_ts)
       LEFT JOIN seen r ON r.ts = n.gt_ts AND r.node = l.node AND r.metric = l.metric)
@@ -371,8 +373,8 @@ def _(spark, d):
         F.col("ts").alias("issue_ts"),
         (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("target_ts"),
         *KEYS,
-        rounded("value").alias("current"),
-        rounded("pred").alias("predicted"),
+        F.col("value").alias("current"),
+        F.col("pred").alias("predicted"),
     )
     payloads = forecast.module_payloads(
         rows.withColumn("delta", F.col("predicted") - F.col("current"))

@@ -11,8 +11,10 @@ from sensorlake.plans.base import (
     CLEAN,
     FRAME,
     METRICS,
+    METRIC_CASE,
     NODES,
     READINGS,
+    VALUE_CASE,
     clean_frame,
     frame,
     neighbours_sql,
@@ -20,6 +22,7 @@ from sensorlake.plans.base import (
     readings,
     rounded,
     scored_sql,
+    table,
 )
 
 LATEST = f"""{READINGS}, latest AS (
@@ -146,11 +149,6 @@ LEGACY = "concat(node, '_', CASE metric WHEN 'Humid' THEN 'Hum' ELSE metric END)
 FIXED = "printf('%.2f', round(value, 6))"
 
 
-def tidy_frame(spark, d):
-    # Six decimals on both sides, so that the two-decimal text cannot hang on the last bit.
-    return clean_frame(spark, d).withColumn("value", rounded("value"))
-
-
 @query(
     "b07_legacy_snapshot",
     f"""WITH {CLEAN}, last AS (SELECT * FROM cleaned WHERE ts = (SELECT max(ts) FROM cleaned))
@@ -158,7 +156,7 @@ def tidy_frame(spark, d):
     UNION ALL SELECT 'Timestamp', strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM last""",
 )
 def _(spark, d):
-    return series.snapshot_texts(tidy_frame(spark, d))
+    return series.snapshot_texts(clean_frame(spark, d))
 
 
 @query(
@@ -171,8 +169,23 @@ def _(spark, d):
     FROM pairs GROUP BY ts""",
 )
 def _(spark, d):
-    rows = frame(spark, d).withColumn("value", rounded("value"))
-    return series.history_json(rows, schema.DAY_ROWS)
+    return series.history_json(frame(spark, d), schema.DAY_ROWS)
+
+
+@query(
+    "b08_history_envelope",
+    f"""WITH {FRAME}, pairs AS (
+      SELECT ts, {LEGACY} AS k, {FIXED} AS v FROM frame WHERE value IS NOT NULL
+        AND ts IN (SELECT ts FROM times ORDER BY ts DESC LIMIT 480)),
+    payloads AS (
+      SELECT ts, concat('{{', string_agg(concat('"', k, '":"', v, '"'), ',' ORDER BY k),
+        ',"created":"', strftime(ts, '%H:%M:%S'), '"}}') AS payload FROM pairs GROUP BY ts)
+    SELECT strftime(max(ts), '%Y-%m-%d') AS date, count(*) AS count,
+      string_agg(payload, chr(10) ORDER BY ts) AS data FROM payloads""",
+)
+def _(spark, d):
+    envelope = series.history_envelope(frame(spark, d), schema.DAY_ROWS)
+    return envelope.withColumn("data", F.array_join("data", "\n"))
 
 
 SMOOTHED = f"""{READINGS}, smoothed AS (
@@ -386,6 +399,32 @@ def _(spark, d):
     return grid.withColumn("z", rounded("z", 4))
 
 
+# Every user stands for a node of a site: as many nodes as the data have users.
+SITE_X, SITE_Y = "user_id * 37 % 1000 * 0.0075E0", "user_id * 91 % 1000 * 0.0068E0"
+
+
+@query(
+    "c06_site_heat_grid",
+    f"""WITH site AS (
+      SELECT user_id, {METRIC_CASE} AS metric, ts, {VALUE_CASE} AS value, {SITE_X} AS px, {SITE_Y} AS py
+      FROM events WHERE event_type IN ('click', 'view', 'purchase', 'signup')),
+    last AS (SELECT user_id, metric, px, py, arg_max(value, ts) AS value FROM site GROUP BY ALL),
+    {cells_sql(60, 60)}, near AS (
+      SELECT metric, row, col, x, y, value,
+        sqrt((x - px) * (x - px) + (y - py) * (y - py)) + 1e-6 AS d FROM last, cells)
+    SELECT metric, row, col, round(x, 6) AS x, round(y, 6) AS y,
+      round(sum(value / (d * d)) / sum(1 / (d * d)), 4) AS z FROM near GROUP BY metric, row, col, x, y""",
+)
+def _(spark, d):
+    site = table(spark, d, "events").filter("event_type IN ('click', 'view', 'purchase', 'signup')").select(
+        F.col("user_id").cast("string").alias("node"), F.expr(METRIC_CASE).alias("metric"), "ts",
+        F.expr(VALUE_CASE).alias("value"), F.expr(SITE_X).alias("px"), F.expr(SITE_Y).alias("py"),
+    )
+    places = site.select("node", "px", "py").distinct()
+    grid = spatial.heat_grid(series.latest(site), places, nx=60, ny=60)
+    return grid.withColumn("z", rounded("z", 4))
+
+
 def frame_surfaces_sql(nx: int, ny: int) -> str:
     """Every cell of every frame: node values and a cell's weights as columns, ``z`` from both."""
     nodes = list(enumerate(GRID_POSITIONS))

@@ -190,7 +190,7 @@ def _(spark, d):
 @query(
     "a08_wide_to_long",
     f"""WITH {GRID}
-    SELECT epoch_us(ts) AS ts_us, node, metric, value FROM grid WHERE value IS NOT NULL""",
+    SELECT epoch_us(ts) AS ts_us, node, metric, round(value, 6) AS value FROM grid WHERE value IS NOT NULL""",
 )
 def _(spark, d):
     names = [f"{n}_{m}" for n, m in schema.CHANNELS]
@@ -391,6 +391,64 @@ def _(spark, d):
     return prediction_log.parse_ragged(lines, LOG_HEADER, ["event_id"])
 
 
+LOG_FILES = {
+    "current": "logged_at_utc,forecast_issue_time,forecast_target_time,ground_truth_matched,pred_M1_Temp,gt_M1_Temp",
+    "older": "logged_at_utc,forecast_issue_time,forecast_target_time,M1_Temp,gt_M1_Temp",
+    "noted": "logged_at_utc,forecast_issue_time,forecast_target_time,ground_truth_matched,note,pred_M4_CO2",
+}
+
+
+def written_log(spark, d):
+    """A log of a file for each day and release of its writer, each with its own header. The older writer
+    adds a flag its header lacks to some lines; notes hold line breaks, commas and quotes."""
+    number = F.col("event_id")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    later = F.col("ts") + F.make_interval(secs=F.lit(180).cast("decimal(18,6)"))
+    target = F.when(number % 7 == 0, "").otherwise(F.date_format(later, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    value = F.col("value").cast("string")
+    note = F.when(number % 2 == 0, F.concat(F.lit('"line ""1"",\n\nline 2 of '), number, F.lit('"')))
+    flag = F.when(number % 2 == 0, "True").otherwise("False")
+    fields = {
+        "current": [flag, value, F.lit("")],
+        "older": [F.when(number % 4 == 2, F.concat(flag, F.lit(","), value)).otherwise(value), value],
+        "noted": [flag, F.coalesce(note, F.lit("plain")), value],
+    }
+    release = F.element_at(F.array(*map(F.lit, LOG_FILES)), (number % 3 + 1).cast("int"))
+    rows = table(spark, d, "events").withColumn("release", release).withColumn("day", F.to_date("ts"))
+    line = F.coalesce(*[
+        F.when(F.col("release") == name, F.concat_ws(",", stamp, stamp, target, *cells))
+        for name, cells in fields.items()
+    ])
+    lines = rows.select("day", "release", F.lit(1).alias("_part"), "ts", line.alias("value"))
+    header = F.element_at(F.create_map(*[F.lit(x) for kv in LOG_FILES.items() for x in kv]), F.col("release"))
+    heads = rows.select("day", "release").distinct().select(
+        "day", "release", F.lit(0).alias("_part"), F.lit(None).cast("timestamp_ntz").alias("ts"), header.alias("value")
+    )
+    path = work_dir(spark)
+    files = lines.unionByName(heads).repartition("day", "release")
+    ordered = files.sortWithinPartitions("day", "release", "_part", "ts")
+    ordered.select("day", "release", "value").write.partitionBy("day", "release").text(path)
+    return path
+
+
+@query(
+    "a14_log_load",
+    """WITH log AS (SELECT *, epoch_us(ts) AS i, CASE WHEN event_id % 7 <> 0
+        THEN epoch_us(ts) + 180000000 END AS t, event_id % 3 AS kind, event_id % 2 = 0 AS even FROM events)
+    SELECT i AS logged_at_us, i AS issue_ts_us, coalesce(t, CAST(trunc(i + (
+        SELECT quantile_cont(t - i, 0.5) FROM log WHERE t >= i)) AS BIGINT)) AS target_ts_us,
+      CAST(even AND (kind <> 1 OR event_id % 4 = 2) AS INT) AS ground_truth_matched,
+      round(CASE WHEN kind < 2 THEN value END, 6) AS "pred_M1_Temp",
+      round(CASE WHEN kind = 1 THEN value END, 6) AS "gt_M1_Temp",
+      round(CASE WHEN kind = 2 THEN value END, 6) AS "pred_M4_CO2",
+      CASE WHEN kind <> 2 THEN '' WHEN even
+        THEN concat('line "1",', chr(10), chr(10), 'line 2 of ', event_id) ELSE 'plain' END AS note
+    FROM log""",
+)
+def _(spark, d):
+    return prediction_log.load_log(spark, written_log(spark, d))
+
+
 @query(
     "a15_legacy_headings",
     """SELECT event_id, value AS "pred_M1_Temp", value AS "pred_M4_CO2", 0 AS "M4_CO2",

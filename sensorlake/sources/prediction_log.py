@@ -2,37 +2,117 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sensorlake import schema
 from sensorlake.functions.text import to_bool
 from sensorlake.functions.times import from_micros, micros
 from sensorlake.operators.quantile import exact_quantile
-from sensorlake.session import work_dir
+from sensorlake.session import materialise, work_dir
+from sensorlake.sources.readings import SourceError, parse_time
 
 EXTRA_COLUMN, EXTRA_AT = "ground_truth_matched", 3
 FEATURE_HEADING = r"^M(?:1|4|6|7|8|9|10|11)_(Temp|Humid|CO2|TVOC)$"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumnRenamed("value", "line")
+TIME_COLUMNS = {"logged_at_utc": "logged_at", "forecast_issue_time": "issue_ts", "forecast_target_time": "target_ts"}
 
 
-def parse_ragged(lines: DataFrame, header: list[str], keep: list[str] = []) -> DataFrame:
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, record, line)`` of log files: the record's number within its file, from 0, and its text.
+
+    A quoted field may hold line breaks, and quotes inside it are doubled: a line belongs to the record
+    before it while the number of quotes so far is odd. Files stay splittable. Each split counts
+    its quotes and its records' starts, the counts of the splits before are added, and the lines of a
+    record meet by number, also where a split ends inside it. Empty lines between records go.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("line"),
+    )
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    split = Window.partitionBy("file", "_split")
+    earlier = split.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lines.withColumn("_quotes", quotes).withColumn(
+        "_before", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2
+    )
+    # How many records start in a split follows from whether it starts inside a quoted field.
+    splits = inside.groupBy("file", "_split").agg(
+        F.sum("_quotes").alias("_quotes"),
+        F.count_if((F.col("_before") == 0) & (F.col("line") != "")).alias("_even"),
+        F.count_if((F.col("_before") == 1) & (F.col("line") != "")).alias("_odd"),
+    )
+    so_far = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    entered = splits.withColumn("_into", F.coalesce(F.sum("_quotes").over(so_far), F.lit(0)) % 2)
+    begun = F.when(F.col("_into") == 0, F.col("_even")).otherwise(F.col("_odd"))
+    offsets = entered.select(
+        "file", "_split", "_into", F.coalesce(F.sum(begun).over(so_far), F.lit(0)).alias("_records")
+    )
+    upto = split.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        inside.join(offsets, ["file", "_split"])
+        .withColumn("_between", F.col("_before") == F.col("_into"))
+        .filter(~(F.col("_between") & (F.col("line") == "")))
+        .withColumn("record", F.col("_records") + F.count_if("_between").over(upto) - 1)
+    )
+    pieces = F.array_sort(F.collect_list(F.struct("_split", "_at", "line")))
+    text = F.array_join(F.transform(pieces, lambda p: p["line"]), "\n")
+    return numbered.groupBy("file", "record").agg(text.alias("line"))
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log at ``path``, a file or a folder of files, ready for reconciling.
+
+    Every file starts with its own header, which may be an older one: files of one header are parsed
+    together, headings are brought up to date, and columns that a header lacks are empty text. Times
+    become ``logged_at``, ``issue_ts`` and ``target_ts`` (missing targets repaired), the flag a boolean,
+    predictions and truths numbers. A file with a header only has no rows; without any file's header
+    the result is an error. Headers differ by release of the writer; only the distinct ones reach the
+    driver.
+    """
+    records = materialise(read_records(spark, path))
+    heads = records.filter("record = 0").select("file", F.col("line").alias("_head"))
+    body = materialise(records.filter("record > 0").join(heads, "file"))
+    generations = sorted(row[0] for row in heads.select("_head").distinct().collect())
+    if not generations:
+        raise SourceError(f"No log header under {path}.")
+    log = None
+    for head in generations:
+        names = [name.strip() for name in next(csv.reader([head]))]
+        part = parse_ragged(body.filter(F.col("_head") == head), names, options={"escape": '"'})
+        part = upgrade_headings(part)
+        log = part if log is None else log.unionByName(part, allowMissingColumns=True)
+    typed = log.na.fill("").withColumns(
+        {
+            **{c: F.col(f"`{c}`").try_cast("double") for c in log.columns if c.startswith(("pred_", "gt_"))},
+            **{new: parse_time(F.col(c)) for c, new in TIME_COLUMNS.items() if c in log.columns},
+        }
+    ).drop(*TIME_COLUMNS)
+    if EXTRA_COLUMN in typed.columns:
+        typed = coerce_flags(typed, [EXTRA_COLUMN])
+    return repair_times(typed)
+
+
+def parse_ragged(
+    lines: DataFrame, header: list[str], keep: list[str] = [], options: dict[str, str] = {}
+) -> DataFrame:
     """Text columns of log lines whose field count does not always fit the header.
 
     Short lines get empty fields, long ones lose the rest. A line with one field too many and a
     true/false in fourth place was written with the extra column the header lacks; once such a
     line occurs the result has the column, empty where a line lacks it. Quoted fields may hold
-    commas.
+    commas. ``options`` go to the CSV parser.
     """
     wide = len(header) + 1
     # Options of the parser, not a schema guess: one more field than the header, all text.
     generic = ", ".join(f"f{i} string" for i in range(wide + 1))
     parsed = lines.filter(F.col("line") != "").withColumn(
-        "_r", F.from_csv("line", F.lit(generic), {"mode": "PERMISSIVE", "emptyValue": ""})
+        "_r", F.from_csv("line", F.lit(generic), {"mode": "PERMISSIVE", "emptyValue": "", **options})
     )
     fields = F.array(*[F.col("_r")[f"f{i}"] for i in range(wide + 1)])
     extra = (

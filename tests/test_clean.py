@@ -144,3 +144,18 @@ def test_the_gate_stops_or_cleans(spark):
     got = clean.gated_clean(frame)
     assert sorted(got.collect()) == sorted(clean.clean(frame).collect())
     assert got.select("node").distinct().count() == 1
+
+
+def test_step_follows_the_readings(spark):
+    rows = [(at(i), "M1", "Temp", 1.0) for i in range(61)] + [(at(i), "M4", "Temp", 1.0) for i in range(0, 61, 2)]
+    # 92 readings of two channels in an hour.
+    assert clean.reading_gap_us(make_readings(spark, rows)) == 3600 * 2 // 92 * 1_000_000
+    assert clean.reading_gap_us(make_readings(spark, rows[:1])) == 1_000_000
+    assert clean.reading_gap_us(make_readings(spark, [])) == 1_000_000
+
+
+def test_row_gate_for_each_export(spark):
+    rows = make_readings(spark, [(at(i), "M1", "Temp", 1.0) for i in range(3)] + [(at(0), "M4", "Temp", None)] * 2)
+    got = {(r.node, r.n_rows, r.enough_rows) for r in clean.row_gate(rows, 3, ["node"]).collect()}
+    assert got == {("M1", 3, True), ("M4", 1, False)}
+    assert clean.row_gate(rows, 3).first()["n_rows"] == 3

@@ -146,3 +146,24 @@ def test_surfaces_equal_numpy(spark, kind):
         top, bottom = top + w * v, bottom + w
     np.testing.assert_allclose([r.z for r in got], (top / bottom).ravel(), rtol=1e-9)
     assert got[0].z == pytest.approx(30.0)
+
+
+@pytest.mark.parametrize("kind", ["heat", "frame"])
+def test_surfaces_of_many_nodes_equal_numpy(spark, kind):
+    rng = np.random.default_rng(5)
+    n, nx, ny = 5000, 9, 11
+    px, py, v = rng.uniform(0, 7.5, n), rng.uniform(0, 6.8, n), rng.normal(25, 5, n)
+    known = rng.random(n) < 0.9
+    positions = spark.createDataFrame([(f"N{i}", float(px[i]), float(py[i])) for i in range(n)], "node string, px double, py double")
+    rows = [(at(0), f"N{i}", "Temp", float(v[i]) if known[i] else None) for i in range(n)]
+    rows.append((at(0), "nowhere", "Temp", 99.0))
+    make = spatial.heat_grid if kind == "heat" else spatial.frame_grid
+    got = make(make_readings(spark, rows), positions, ["ts", "metric"], nx, ny)
+    gx, gy = np.meshgrid(np.linspace(0, 7.5, nx), np.linspace(0, 6.8, ny))
+    d2 = (gx[..., None] - px[known]) ** 2 + (gy[..., None] - py[known]) ** 2
+    w = 1 / (np.sqrt(d2) + 1e-6) ** 2 if kind == "heat" else 1 / np.maximum(d2, 1e-10)
+    want = (w * v[known]).sum(-1) / w.sum(-1)
+    np.testing.assert_allclose([r.z for r in got.orderBy("row", "col").collect()], want.ravel(), rtol=1e-9)
+    # Cells are summed where the tiles already are: nothing but blocks and their numbers is shuffled.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(ts") <= 3 and "hashpartitioning(row" not in plan

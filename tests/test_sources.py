@@ -1,4 +1,7 @@
+import csv
 import datetime as dt
+import io
+
 import pytest
 from conftest import at
 from pyspark.sql import functions as F
@@ -163,6 +166,46 @@ def test_ragged_lines_and_headings(spark):
     assert (long.node, long.metric, long.pred) == ("M1", "Temp", 1.5)
 
 
+def test_records_hold_quoted_line_breaks_across_splits(spark, tmp_path):
+    records = [["h1", "h2"]] + [[str(i), 'a, "b"\n\n' * (i % 4) + f"end {i}"] for i in range(300)]
+    for name, part in (("a.csv", records), ("b.csv", records[:1] + records[5:90]), ("empty.csv", [])):
+        with open(tmp_path / name, "w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows(part)
+            out.write("\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        read = prediction_log.read_records(spark, str(tmp_path))
+        found = read.withColumn("file", F.element_at(F.split("file", "/"), -1)).orderBy("file", "record").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, part in (("a.csv", records), ("b.csv", records[:1] + records[5:90])):
+        mine = [r for r in found if r.file == name]
+        assert [r.record for r in mine] == list(range(len(part)))
+        assert [next(csv.reader(io.StringIO(r.line, newline=""))) for r in mine] == part
+    assert not [r for r in found if r.file == "empty.csv"]
+
+
+def test_log_of_mixed_headers_is_one_path(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("logged_at_utc,forecast_issue_time,forecast_target_time,M1_Temp\n"
+                                    "2024-03-01T00:00:00,2024-03-01T00:00:00,2024-03-01T00:03:00,1.5\n"
+                                    "2024-03-01T00:01:00,2024-03-01T00:01:00,2024-03-01T00:04:00,True,2.5\n")
+    (tmp_path / "2.csv").write_text('logged_at_utc,forecast_issue_time,forecast_target_time,note,pred_M4_CO2\n'
+                                    '2024-03-01T00:02:00,2024-03-01T00:02:00,,"x\ny ""z""",400\n'
+                                    "2024-03-01T00:03:00\n")
+    (tmp_path / "3.csv").write_text("logged_at_utc,forecast_issue_time,forecast_target_time,ground_truth_matched\n")
+    log = prediction_log.load_log(spark, str(tmp_path)).orderBy("logged_at").collect()
+    assert [(r.issue_ts, r.target_ts, r.ground_truth_matched, r.pred_M1_Temp, r.note, r.pred_M4_CO2) for r in log] == [
+        (at(0), at(3), False, 1.5, "", None),
+        (at(1), at(4), True, 2.5, "", None),
+        (at(2), at(5), False, None, 'x\ny "z"', 400.0),
+        (None, None, False, None, "", None),
+    ]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "blank.csv").write_text("\n\n")
+    with pytest.raises(readings.SourceError):
+        prediction_log.load_log(spark, str(tmp_path / "none"))
+
+
 def test_retention(spark, tmp_path):
     df = spark.createDataFrame([(at(0),), (at(60 * 24),), (at(60 * 96),)], "ts timestamp_ntz")
     assert tables.retained(df, 3).count() == 2
