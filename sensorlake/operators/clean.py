@@ -17,8 +17,6 @@ from sensorlake.schema import CHANNELS, MIN_ROWS
 from sensorlake.session import materialise
 
 KEYS = ["node", "metric"]
-#: Stands between node and metric in a key; names do not hold it.
-KEY_GAP = "\u0000"
 
 
 class DataQualityError(RuntimeError):
@@ -65,33 +63,29 @@ def densify(readings: DataFrame, channels: list[tuple[str, str]] | None = None)
     """The shared frame: every timestamp has a row for every channel, with its frame position.
 
     Without ``channels`` these are the fleet's and any others in the data. ``(ts, node, metric)``
-    must be unique; readings without a node or metric belong to no channel. One map per timestamp,
-    at most as wide as the fleet.
+    must be unique; readings without a node or metric belong to no channel. One list per timestamp,
+    at most as long as the fleet; the channels that it lacks are added to it, in linear time.
     """
     if channels is None:
         channels = channels_of(readings)
-    named = F.col("node").isNotNull() & F.col("metric").isNotNull()
-    name = F.concat_ws(KEY_GAP, "node", "metric")
-    per_ts = readings.groupBy("ts").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(named, F.struct(name, F.col("value"))))
-        ).alias("_values")
-    )
-    cells = F.array(
+    names = F.array(
         *[F.struct(F.lit(n).alias("node"), F.lit(m).alias("metric")) for n, m in channels]
     )
+    numbers = readings.sparkSession.range(1).select(F.posexplode(names).alias("_channel", "_name"))
+    numbers = numbers.select("_channel", "_name.node", "_name.metric")
+    numbered = readings.select("ts", *KEYS, "value").join(numbers, KEYS, "left")
+    known = F.when(F.col("_channel").isNotNull(), F.struct("_channel", "value"))
+    per_ts = numbered.groupBy("ts").agg(F.collect_list(known).alias("_known"))
+    nothing = F.lit(None).cast(readings.schema["value"].dataType)
+    lacking = F.transform(
+        F.array_except(F.sequence(F.lit(0), F.lit(len(channels) - 1)), F.col("_known._channel")),
+        lambda i: F.struct(i.alias("_channel"), nothing.alias("value")),
+    )
     return (
         with_position(per_ts, [], "ts")
-        .withColumn("_cell", F.explode(cells))
-        .select(
-            "ts",
-            "pos",
-            F.col("_cell.node").alias("node"),
-            F.col("_cell.metric").alias("metric"),
-            F.try_element_at(
-                "_values", F.concat_ws(KEY_GAP, F.col("_cell.node"), F.col("_cell.metric"))
-            ).alias("value"),
-        )
+        .select("ts", "pos", F.inline(F.concat("_known", lacking)))
+        .join(numbers, "_channel")
+        .select("ts", "pos", *KEYS, "value")
     )
 
 

@@ -262,8 +262,7 @@ def _(spark, d):
 )
 def _(spark, d):
     sent = messages(table(spark, d, "events"))
-    named = sent.withColumn("device", F.element_at(F.split("topic", "/"), -1))
-    return named.join(schema.devices(spark), "device").select("event_id", "device", "node")
+    return telemetry.of_known_devices(sent, schema.devices(spark)).select("event_id", "device", "node")
 
 
 @query(

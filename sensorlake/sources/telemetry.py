@@ -16,6 +16,11 @@ def _number(text: Column) -> Column:
     return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
 
 
+def of_known_devices(messages: DataFrame, devices: DataFrame) -> DataFrame:
+    """Messages with ``device``, the last part of the topic, and its node; other devices' are dropped."""
+    return messages.withColumn("device", F.element_at(F.split("topic", "/"), -1)).join(devices, "device")
+
+
 def parse_messages(messages: DataFrame, devices: DataFrame, keep: list[str] = []) -> DataFrame:
     """``(ts, node_id, temp, humidity, co2, tvoc)`` of ``(topic, payload, arrival_ts)``.
 
@@ -23,10 +28,8 @@ def parse_messages(messages: DataFrame, devices: DataFrame, keep: list[str] = []
     fields are cut toward zero; a value that is no number is null.
     """
     data = F.from_json("payload", PAYLOAD_TYPE)
-    shaped = messages.withColumn("device", F.element_at(F.split("topic", "/"), -1)).filter(
-        F.col("payload").rlike(OBJECT_PATTERN)
-    )
-    known = shaped.join(devices, "device").withColumn("_data", data)
+    shaped = messages.filter(F.col("payload").rlike(OBJECT_PATTERN))
+    known = of_known_devices(shaped, devices).withColumn("_data", data)
     # A broken object parses to null.
     valid = known.filter(F.col("_data").isNotNull())
 

@@ -159,3 +159,15 @@ def test_row_gate_for_each_export(spark):
     got = {(r.node, r.n_rows, r.enough_rows) for r in clean.row_gate(rows, 3, ["node"]).collect()}
     assert got == {("M1", 3, True), ("M4", 1, False)}
     assert clean.row_gate(rows, 3).first()["n_rows"] == 3
+
+
+def test_frame_of_a_wide_fleet(spark):
+    wide = spark.range(1000).selectExpr(
+        "timestamp_ntz '2024-03-01' + make_interval(0, 0, 0, 0, 0, cast(id % 3 AS int)) AS ts",
+        "concat('N', id) AS node", "'Temp' AS metric", "cast(id AS double) AS value",
+    )
+    frame = clean.densify(wide)
+    row = frame.agg({"*": "count", "value": "sum", "pos": "max"}).first()
+    assert row["count(1)"] == 3 * (1000 + len(CHANNELS)) and row["sum(value)"] == 1000 * 999 / 2 and row["max(pos)"] == 2
+    nameless = make_readings(spark, [(at(0), None, "Temp", 1.0), (at(3), "M1", None, 2.0)])
+    assert clean.densify(nameless).filter("value IS NULL").count() == 2 * len(CHANNELS)
